@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, licenses, shard
+from nearfield.llm import bpe, decontaminate, edit_fingerprint, language, licenses, pii, shard, toxicity
 from nearfield.llm.common import documents
 
 
@@ -41,5 +41,35 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_byte_shards, op9_license_scan, op10_decontaminate)}
+def _remainder(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op2_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(_remainder(4) != 2))
+    return language.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(_remainder(5) != 0))
+    found = toxicity.predict(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.analyse(documents(spark, sf_dir))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("base", "terms").alias("spans"))
+
+
+def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edited_copies(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_word_first_language, op3_byte_shards, op4_toxicity, op6_personal_data, op8_edit_fingerprint, op9_license_scan, op10_decontaminate)
+}
 ORACLE_SQL: dict[str, str] = {}

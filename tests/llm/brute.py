@@ -72,3 +72,35 @@ def licenses(docs):
         every = sorted(p for v in at.values() for p in v)
         out.append((i, len(w), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(k for k, v in at.items() if v))))
     return out
+
+
+def pii(text):
+    text = text or ""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if k % 2 == 0 else (2 * x) // 10 + (2 * x) % 10 for k, x in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return sorted(out, key=lambda s: (s[1], ["email", "ip", "card", "phone"].index(s[0])))
+
+
+def edited(docs):
+    import xxhash
+
+    def key(row):
+        h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed=42)
+        return (row[0] is not None, row[0] or 0, h - (1 << 64) if h >> 63 else h)
+
+    rows = sorted(docs, key=key, reverse=True)
+    out = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        out.append((i, len(t), sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])))
+    return out
