@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,34 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a map of hashes: 4 MB whatever the corpus. A fuller map lets more rows pass and stays right.
+MAP_BITS = 1 << 25
+
+
+def bit_map(hashes: DataFrame) -> bytes:
+    """A map with a bit set for each value of the first column, a long, at its remainder by MAP_BITS; the bit `b` is
+    `map[b >> 3] >> (b & 7) & 1`. Tasks pack pages of it, so the driver gets no more than the map. Empty if none is set."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(MAP_BITS))
+
+    def packed(batches):
+        for batch in batches:
+            out = []
+            for some in batch.column(1).to_pylist():
+                page = np.zeros(1024, bool)
+                page[some] = True
+                out.append(np.packbits(page, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["page", "data"])
+
+    pages = hashes.select(F.floor(bit / 1024).alias("page"), (bit % 1024).cast("int").alias("bit"))
+    found = pages.groupBy("page").agg(F.collect_set("bit").alias("some")).mapInArrow(packed, "page long, data binary").collect()
+    if not found:
+        return b""
+    out = np.zeros((MAP_BITS >> 10, 128), np.uint8)
+    for r in found:
+        out[r.page] = np.frombuffer(r.data, np.uint8)
+    return out.tobytes()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, edit_fingerprint, language, licenses, pii, shard, toxicity
+from nearfield.llm import bpe, decontaminate, edit_fingerprint, jaccard_join, language, licenses, pii, shard, toxicity
 from nearfield.llm.common import documents
 
 
@@ -64,12 +64,16 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("base", "terms").alias("spans"))
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(documents(spark, sf_dir))
+
+
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.edited_copies(documents(spark, sf_dir))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_word_first_language, op3_byte_shards, op4_toxicity, op6_personal_data, op8_edit_fingerprint, op9_license_scan, op10_decontaminate)
+    for f in (op1_byte_bpe, op2_word_first_language, op3_byte_shards, op4_toxicity, op6_personal_data, op7_chosen_path_join, op8_edit_fingerprint, op9_license_scan, op10_decontaminate)
 }
 ORACLE_SQL: dict[str, str] = {}

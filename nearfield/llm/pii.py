@@ -12,21 +12,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import stable
+from nearfield.llm.common import MAP_BITS, bit_map, stable
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
 NEAR, LETTERS = 8, 4
 #: Disclosure thresholds: distinct texts with both, share of a term's texts that have the entity, and bits of pointwise mutual information.
 TEXTS, SHARE, BITS = 5, 0.5, 6.0
-#: Bits of the map of candidate terms: 4 MB whatever the corpus.
-MAP_BITS = 1 << 25
 
 _domain = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+").match
 _ip = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}").finditer
@@ -89,7 +86,7 @@ def _terms(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _bit(term: str) -> int:
-    return xxhash.xxh64_intdigest(term) % MAP_BITS
+    return xxhash.xxh64_intdigest(term, seed=42) % MAP_BITS  # as Spark's xxhash64 does
 
 
 def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -132,27 +129,8 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     around = stable(surroundings(docs, text_col))
     pairs = stable(around.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= TEXTS))
 
-    def bits(batches):
-        for batch in batches:
-            at = np.unique(np.array([_bit(t) for t in batch.column(0).to_pylist()], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 10, pa.int64()), pa.array(at & 1023, pa.int32())], ["page", "bit"])
-
-    # The map is put together page by page, MAP_BITS / 1024 pages of 128 bytes at most.
-    def pages(batches):
-        for batch in batches:
-            out = []
-            for some in batch.column(1).to_pylist():
-                page = np.zeros(1024, bool)
-                page[some] = True
-                out.append(np.packbits(page).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["page", "data"])
-
-    found = pairs.select("term").distinct().mapInArrow(bits, "page long, bit int").groupBy("page").agg(F.collect_set("bit").alias("some")).mapInArrow(pages, "page long, data binary")
-    pagewise = np.zeros((MAP_BITS >> 10, 128), np.uint8)
-    for r in found.collect():
-        pagewise[r.page] = np.frombuffer(r.data, np.uint8)
-    anything = bool(pagewise.any())
-    sent = spark.sparkContext.broadcast(pagewise.tobytes() if anything else b"")
+    candidates = bit_map(pairs.select(F.xxhash64("term").alias("h")))
+    sent = spark.sparkContext.broadcast(candidates)
 
     def scanned(batches):
         data = sent.value
@@ -160,8 +138,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         class Known(dict):
             def __missing__(self, term: str) -> bool:
                 b = _bit(term)
-                # packbits puts the first bit of a byte highest
-                self[term] = out = bool(data[b >> 3] >> (7 - (b & 7)) & 1)
+                self[term] = out = bool(data[b >> 3] >> (b & 7) & 1)
                 return out
 
         cache = Known()
@@ -189,7 +166,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = source.mapInArrow(scanned, f"id {kind}, key long, base {spans}, some array<struct<term: string, start: int, end: int>>")
     none = F.expr(f"cast(array() as {spans})")
-    if not anything:
+    if not candidates:
         return rows.select(F.col("id").alias(id_col), "base", none.alias("terms"))
     rows = stable(rows.withColumn("row", F.monotonically_increasing_id()))
     n_texts = rows.select("key").distinct().count()

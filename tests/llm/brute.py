@@ -104,3 +104,42 @@ def edited(docs):
         t, after = t or "", after or ""
         out.append((i, len(t), sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])))
     return out
+
+
+def jaccard(docs, n=5, similarity=0.8):
+    """(id, class_id, n_links) by comparing every pair that shares an n-gram; ids are taken as row names here."""
+    sets, plain = [], []
+    for _, t in docs:
+        w = words(t)
+        k = min(n, len(w))
+        sets.append({tuple(w[p : p + k]) for p in range(len(w) - k + 1)} if k else set())
+        plain.append(t or "")
+    by = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            by.setdefault(g, []).append(i)
+    parent, linked = list(range(len(docs))), [0] * len(docs)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = {}
+        for g in s:
+            for j in by[g]:
+                if j > i:
+                    shared[j] = shared.get(j, 0) + 1
+        near = [j for j, c in shared.items() if c >= similarity * (len(s) + len(sets[j]) - c) - 1e-9]
+        if not s:
+            near = [j for j in range(i + 1, len(docs)) if not sets[j] and plain[j] == plain[i]]
+        for j in near:
+            linked[i] += 1
+            linked[j] += 1
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return [(d, least.get(root(i)), linked[i]) for i, (d, _) in enumerate(docs)]
