@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, decontaminate, edit_fingerprint, jaccard_join, language, licenses, pii, shard, toxicity
+from nearfield.llm import bpe, decontaminate, edit_fingerprint, jaccard_join, language, licenses, pii, repeats, shard, toxicity
 from nearfield.llm.common import documents
 
 
@@ -58,6 +58,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.analyse(documents(spark, sf_dir))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS[:4]]
@@ -74,6 +80,6 @@ def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_word_first_language, op3_byte_shards, op4_toxicity, op6_personal_data, op7_chosen_path_join, op8_edit_fingerprint, op9_license_scan, op10_decontaminate)
+    for f in (op1_byte_bpe, op2_word_first_language, op3_byte_shards, op4_toxicity, op5_repeated_bytes, op6_personal_data, op7_chosen_path_join, op8_edit_fingerprint, op9_license_scan, op10_decontaminate)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -143,3 +143,22 @@ def jaccard(docs, n=5, similarity=0.8):
         if d is not None:
             least[root(i)] = min(d, least.get(root(i), d))
     return [(d, least.get(root(i)), linked[i]) for i, (d, _) in enumerate(docs)]
+
+
+def repeats(docs, length):
+    """(id, n_bytes, n_removed, n_spans, kept) by a dictionary of all windows."""
+    seen = {}
+    data = [(i, (t or "").encode()) for i, t in docs]
+    for _, b in data:
+        for s in range(len(b) - length + 1):
+            h = hash(b[s : s + length])
+            seen[h] = seen.get(h, 0) + 1
+    out = []
+    for i, b in data:
+        covered = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if seen[hash(b[s : s + length])] > 1:
+                covered[s : s + length] = b"\1" * length
+        kept = bytes(x for x, c in zip(b, covered) if not c)
+        out.append((i, len(b), sum(covered), len(re.findall(b"\1+", bytes(covered))), sha(kept)))
+    return out
