@@ -33,12 +33,17 @@ def find_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(ASCII_LOWER)) if text else []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. The cluster names it; only where none is named, as in tests, one is made here."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """A copy in the checkpoint folder that all executors share, so that a lost executor or a second reader
-    sees the same rows. The cluster names the folder; only where none is named (tests) one is made here."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """A copy in the shared checkpoint folder, so that a lost executor or a second reader sees the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -70,6 +75,14 @@ def bit_map(hashes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

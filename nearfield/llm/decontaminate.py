@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import stable, word_array
+from nearfield.llm.common import private, stable, word_array
 
 #: Distinct windows up to which their hashes are sent to all tasks (8 bytes each).
 SET_LIMIT = 100_000
@@ -87,8 +87,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The documents in which no item's window occurs, with all their columns. Decisions are by text, so rows
     that share an id but not a text are told apart."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key = F.sha2("text", 256)
-    hit = scan(texts.select(key.alias("key"), "text"), benchmark, n, "key", "text", **names).where("n_hit > 0").select("key").distinct()
-    marked = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return marked.join(hit.withColumnRenamed("key", "__key"), "__key", "left_anti").drop("__key")
+    key, name = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), private(docs, "key")
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    hit = scan(texts, benchmark, n, "key", "text", **names).where("n_hit > 0").select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, key).join(hit, name, "left_anti").drop(name)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, find_words, partitions, stable
+from nearfield.llm.common import MAP_BITS, bit_map, find_words, partitions, private, stable
 
 N, SIMILARITY = 5, 0.8
 #: Minwise tokens of a set, greatest depth of a path, sets in a node that is compared at once, sets in a block.
@@ -307,8 +307,9 @@ def _components(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """One row of each class, with all its columns: that of the least id (null last), then of the least hash of the text. Of
     rows equal in both, one stays."""
-    name = F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 20, "0"), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    named = docs.withColumn("__name", name)
-    classes = links(named.select("__name", F.col(text_col).alias("__text")), n, similarity, "__name", "__text", recall)
-    kept = classes.where("__name = class_id").select("__name").distinct()
-    return named.join(kept, "__name", "left_semi").dropDuplicates(["__name"]).drop("__name")
+    name = private(docs, "name")
+    key = F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 20, "0"), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    named = docs.withColumn(name, key)
+    classes = links(named.select(F.col(name).alias("name"), F.col(text_col).alias("text")), n, similarity, "name", "text", recall)
+    kept = classes.where("name = class_id").select(F.col("name").alias(name)).distinct()
+    return named.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, stable
+from nearfield.llm.common import MAP_BITS, bit_map, private, stable
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
@@ -192,9 +192,10 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose texts have [EMAIL], [IP], [CARD], [PHONE] or [TERM] for each
     span; overlapping spans become one, named by the first. A null text stays null."""
     key, names = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), docs.columns
+    name, extra = private(docs, "key"), private(docs, "terms")
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    terms = analyse(texts, "key", "text").where("size(terms) > 0").groupBy("key").agg(F.first("terms").alias("__terms"))
-    marked = docs.withColumn("__key", key).join(terms.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    terms = analyse(texts, "key", "text").where("size(terms) > 0").groupBy("key").agg(F.first("terms").alias(extra))
+    marked = docs.withColumn(name, key).join(terms.withColumnRenamed("key", name), name, "left").drop(name)
     at = names.index(text_col)
 
     def replaced(batches):
@@ -207,7 +208,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.select(*(F.col(f"`{c}`") for c in names), "__terms").mapInArrow(replaced, docs.schema)
+    return marked.select(*(F.col(f"`{c}`") for c in names), extra).mapInArrow(replaced, docs.schema)
 
 
 def _replace(text: str, spans: list[tuple[str, int, int]]) -> str:
