@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, decontaminate, edit_fingerprint, jaccard_join, language, licenses, pii, repeats, shard, toxicity
 from nearfield.llm.common import documents
+from nearfield.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_byte_bpe, op2_word_first_language, op3_byte_shards, op4_toxicity, op5_repeated_bytes, op6_personal_data, op7_chosen_path_join, op8_edit_fingerprint, op9_license_scan, op10_decontaminate)
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -101,3 +101,20 @@ def test_licenses(spark, docs, odd):
     one = licenses.scan(spark.createDataFrame([(1, text), (2, "permission is hereby granted to no one")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert one[0].labels == ["mit-text"] and 0.6 <= one[0].score <= 1 and one[0].spans[0]["first"] == 2
     assert one[1].labels == [] and one[1].score == 0
+
+
+@pytest.mark.parametrize("name", list(entries.ORACLE_SQL))
+def test_sql(spark, name):
+    import glob
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    found = entries.QUERIES[name](spark, SF)
+    expected = c.sql(entries.ORACLE_SQL[name])
+    order = sorted(found.columns)
+    assert sorted(expected.columns) == order
+    plain = lambda rows, names: sorted((tuple(r[names.index(n)] for n in order) for r in rows), key=repr)
+    assert plain(found.collect(), found.columns) == plain(expected.fetchall(), expected.columns)
