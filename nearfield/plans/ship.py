@@ -1,8 +1,12 @@
-"""Brings this package to the executors, which need its functions and may not have it installed."""
+"""Lets the Python workers of a local session find this package, wherever the session was started.
+
+On a cluster the package comes with --py-files or is installed; nothing is written there.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -12,9 +16,9 @@ import nearfield
 
 
 def ship(spark: SparkSession) -> None:
-    """Once for each context; the driver serves the archive, so no shared folder is needed."""
+    """Once for each context."""
     sc = spark.sparkContext
-    if getattr(sc, "_nearfield_shipped", False):
+    if getattr(sc, "_nearfield_shipped", False) or not re.match(r"local(\[|$)", sc.master):
         return
     package = os.path.dirname(os.path.realpath(nearfield.__file__))
     base = os.path.join(os.path.realpath(tempfile.mkdtemp()), "nearfield_package")
