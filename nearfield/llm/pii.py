@@ -3,13 +3,14 @@
 Patterns find the protected entities. The corpus then says which terms reveal them: of the texts with a term,
 how many have the entity near it, against the entity's share of all texts. Terms past both disclosure
 thresholds are found wherever they stand. Candidate terms come from the entities' surroundings; a bit map of
-fixed size lets a second scan pick their occurrences, and joins by term settle which are real, so that nothing
-that grows with the corpus is sent to all tasks.
+fixed size lets a second scan count the texts that have them and a third one find those past the thresholds, and joins
+by term settle which are real, so that nothing that grows with the corpus is sent to all tasks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,99 +86,121 @@ def _terms(text: str) -> Iterator[tuple[str, int, int]]:
     return ((m[0].lower(), m.start(), m.end()) for m in _word(text) if m.end() - m.start() >= LETTERS)
 
 
-def _bit(term: str) -> int:
-    return xxhash.xxh64_intdigest(term, seed=42) % MAP_BITS  # as Spark's xxhash64 does
-
-
 def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, text): the hashes of each entity's value and of the text, and a term near the entity."""
+    """(entity, term, text, n): the hashes of each entity's value and of the text, a term near the entity, and the text's copies."""
 
-    def near(batches):
+    def around(batches):
         for batch in batches:
-            rows = set()
+            rows: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 spans = find(text)
                 if not spans:
                     continue
                 key = xxhash.xxh64_intdigest(text) - (1 << 63)
+                near: set[tuple[int, str, int]] = set()
                 for kind, start, end in spans:
                     value = xxhash.xxh64_intdigest(kind + ":" + (text[start:end].lower() if kind == "email" else text[start:end])) - (1 << 63)
                     # A window of characters first, so that long texts aren't split for each of their entities.
                     before = [t for t in _terms(_cut(text, start - 40 * NEAR, start))][-NEAR:]
                     after = [t for t in _terms(_cut(text, end, end + 40 * NEAR))][:NEAR]
-                    rows.update((value, t[0], key) for t in (*before, *after))
-            ordered = sorted(rows)
+                    near.update((value, t[0], key) for t in (*before, *after))
+                rows.update(near)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in ordered], pa.int64()), pa.array([r[1] for r in ordered], pa.string()), pa.array([r[2] for r in ordered], pa.int64())],
-                ["entity", "term", "text"],
+                [*(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))), pa.array(rows.values(), pa.int64())], ["entity", "term", "text", "n"]
             )
 
-    return docs.select(text_col).mapInArrow(near, "entity long, term string, text long").distinct()
+    found = docs.select(text_col).mapInArrow(around, "entity long, term string, text long, n long")
+    return found.groupBy("entity", "term", "text").agg(F.sum("n").alias("n"))
 
 
 def _cut(text: str, start: int, end: int) -> str:
     return text[max(0, start) : end]
 
 
-def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, terms) for each row: the spans of the base kinds and of the revealing terms, each an array of
-    (kind, start, end) in order. A null text is empty and has none. A base span hides the terms that it overlaps.
+class _Known(dict):
+    """Whether a term's bit is set in a map, remembered for up to a million terms."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def __missing__(self, term: str) -> bool:
+        if len(self) > 1_000_000:
+            self.clear()
+        b = xxhash.xxh64_intdigest(term, seed=42) % MAP_BITS  # as Spark's xxhash64 does
+        self[term] = out = bool(self.data[b >> 3] >> (b & 7) & 1)
+        return out
+
+
+def _vocabulary(text: str) -> set[str]:
+    return {w.lower() for w in set(_words(text)) if len(w) >= LETTERS}
+
 
-    Copies of a text count as one text in the corpus statistics.
+def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, term, share, bits): the terms past both thresholds, with the entities that they reveal.
+
+    Texts that have the term near the entity are counted against all that have the term, copies included; but a
+    term needs TEXTS distinct ones. Only candidates, terms that enough texts have near an entity, are counted over the corpus,
+    task by task, so the counts and not the occurrences are shuffled.
     """
-    spark = docs.sparkSession
-    around = stable(surroundings(docs, text_col))
-    pairs = stable(around.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= TEXTS))
+    near = stable(surroundings(docs, text_col))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")).where(F.col("texts") >= TEXTS)
+    pairs = stable(pairs)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select(F.xxhash64("term").alias("h"))))
+
+    def counted(batches):
+        counts: Counter = Counter()
+        known = _Known(sent.value)
+        for batch in batches:
+            for text in batch.column(0):
+                if (text := text.as_py()) and sent.value:
+                    counts.update(w for w in _vocabulary(text) if known[w])
+            if len(counts) > 1_000_000:
+                yield _counts(counts)
+                counts.clear()
+        yield _counts(counts)
+
+    with_term = docs.select(text_col).mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    with_entity = near.groupBy("entity", "text").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
+    share = F.col("both") / F.greatest("with_term", "both")
+    bits = F.log2(share / (F.col("with_entity") / F.lit(float(max(1, docs.count())))))
+    return pairs.join(with_entity, "entity").join(with_term, "term").select("entity", "term", share.alias("share"), bits.alias("bits")).where((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
 
-    candidates = bit_map(pairs.select(F.xxhash64("term").alias("h")))
-    sent = spark.sparkContext.broadcast(candidates)
 
-    def scanned(batches):
-        data = sent.value
+def _counts(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
 
-        class Known(dict):
-            def __missing__(self, term: str) -> bool:
-                b = _bit(term)
-                self[term] = out = bool(data[b >> 3] >> (b & 7) & 1)
-                return out
 
-        cache = Known()
+def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, base, terms) for each row: the spans of the base kinds and of the revealing terms, each an array of
+    (kind, start, end) in order. A null text is empty and has none. A base span hides the terms that it overlaps."""
+    terms = stable(revealing(docs, text_col).select("term").distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(terms.select(F.xxhash64("term").alias("h"))))
+
+    def scanned(batches):
+        known = _Known(sent.value)
         for batch in batches:
-            ids, keys, base, terms = batch.column(0), [], [], []
+            base, some = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 spans = find(text)
-                keys.append(xxhash.xxh64_intdigest(text) - (1 << 63))
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-                some = []
-                if data:
-                    if len(cache) > 1_000_000:
-                        cache.clear()
-                    if any(map(cache.__getitem__, {w for w in _words(text.lower()) if len(w) >= LETTERS})):
-                        covered = [(a, b) for _, a, b in spans]
-                        some = [{"term": t, "start": a, "end": b} for t, a, b in _terms(text) if cache[t] and not any(a < y and x < b for x, y in covered)]
-                terms.append(some)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(base, span), pa.array(terms, term)], ["id", "key", "base", "some"])
+                found = []
+                if sent.value and any(map(known.__getitem__, _vocabulary(text))):
+                    found = [{"term": t, "start": a, "end": b} for t, a, b in _terms(text) if known[t] and not any(a < y and x < b for _, x, y in spans)]
+                some.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(some, term)], ["id", "base", "some"])
 
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     term = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    kind = docs.schema[id_col].dataType.simpleString()
-    spans = "array<struct<kind: string, start: int, end: int>>"
+    kind, spans = docs.schema[id_col].dataType.simpleString(), "array<struct<kind: string, start: int, end: int>>"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(scanned, f"id {kind}, key long, base {spans}, some array<struct<term: string, start: int, end: int>>")
+    rows = source.mapInArrow(scanned, f"id {kind}, base {spans}, some array<struct<term: string, start: int, end: int>>")
     none = F.expr(f"cast(array() as {spans})")
-    if not candidates:
+    if not sent.value:
         return rows.select(F.col("id").alias(id_col), "base", none.alias("terms"))
     rows = stable(rows.withColumn("row", F.monotonically_increasing_id()))
-    n_texts = rows.select("key").distinct().count()
-    each = rows.select("row", "key", F.explode("some").alias("s")).select("row", "key", "s.*")
-    with_term = each.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    entities = around.select("entity", "text").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    measured = pairs.join(entities, "entity").join(with_term, "term")
-    share = F.col("both") / F.greatest("with_term", "both")
-    gain = F.log2(share / (F.col("with_entity") / F.lit(float(n_texts))))
-    revealing = measured.where((share >= SHARE) & (gain >= BITS)).select("term").distinct()
-    real = each.join(revealing, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    each = rows.select("row", F.explode("some").alias("s")).select("row", "s.*")
+    real = each.join(terms, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
     return rows.drop("some").join(real, "row", "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
 
 
