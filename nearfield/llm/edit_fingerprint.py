@@ -13,6 +13,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +160,6 @@ def candidates(prints: DataFrame, least: float = 0.6, bands: int = 16, id_col: s
 
     @F.pandas_udf("double")
     def alike(x, y):
-        import pandas as pd
-
         return pd.Series([likeness(a, b) for a, b in zip(x, y)], dtype="float64")
 
     return pairs.withColumn("likeness", alike("fa", "fb")).where(F.col("likeness") >= least).select("a", "b", "likeness")
@@ -182,19 +181,26 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = source.withColumn("k", F.xxhash64("text"))
     n = max(2, partitions(docs.sparkSession))
     cuts = docs.select(F.percentile_approx(id_col, [k / n for k in range(1, n)], 10_000)).first()[0] or []  # n values
-    cuts = f"array({', '.join(f'{int(c)}L' for c in cuts)})" if cuts else "cast(array() as array<long>)"
-    # How far the hash is through its range, from 0 to 1: where an id fills several cuts, its rows are dealt over them by it.
+    cuts = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series, missing: pd.Series, u: pd.Series) -> pd.Series:
+        """From the last to the first in order: null ids below 0, the others by the cuts, of which an id that fills several
+        gets as many buckets."""
+        low, high, u = np.searchsorted(cuts, ids.to_numpy(), "left"), np.searchsorted(cuts, ids.to_numpy(), "right"), u.to_numpy()
+        return pd.Series(-np.where(missing.to_numpy(), np.floor(u * n) - n, low + np.floor(u * (high - low + 1))).astype(np.int32))
+
+    # How far the hash is through its range, from 0 to 1.
     source = source.withColumn("u", F.expr("least(0.999999D, (k + 9223372036854775808D) / 18446744073709551616D)"))
-    rank = F.expr(f"size(filter({cuts}, c -> c < id)) + floor(u * (size(filter({cuts}, c -> c = id)) + 1))")
-    dealt = source.withColumn("bucket", -F.when(F.col("id").isNull(), F.floor(F.col("u") * n) - n).otherwise(rank).cast("int"))
+    dealt = source.withColumn("bucket", bucket_of(F.coalesce("id", F.lit(0)).cast("long"), F.col("id").isNull(), "u"))
     # The head of each bucket, its row that comes first: one for each bucket, of which there are 2 n at most.
     heads = dealt.groupBy("bucket").agg(F.max(F.struct("id", "k")).alias("head")).orderBy("bucket").collect()
-    before = {heads[i].bucket: heads[i - 1].bucket for i in range(len(heads))}
-    ends = [F.when((F.col("bucket") == h.bucket) & F.col("id").eqNullSafe(F.lit(h.head.id)) & (F.col("k") == h.head.k), F.lit(before[h.bucket])) for h in heads]
+    ends = docs.sparkSession.createDataFrame([(h.bucket, h.head.id, h.head.k, heads[i - 1].bucket) for i, h in enumerate(heads)], "b int, i long, h long, to int")
     place = lambda bucket, extra: F.struct(bucket.alias("bucket"), F.lit(extra).alias("extra"))
-    own, end = place(F.col("bucket"), 0), F.col("to")
-    copies = dealt.withColumn("to", F.coalesce(*ends, F.lit(None).cast("int"))).select(
-        "id", "text", "k", F.explode(F.when(end.isNull(), F.array(own)).otherwise(F.array(own, place(end, 1)))).alias("place")
+    own = place(F.col("bucket"), 0)
+    met = (F.col("b") == F.col("bucket")) & F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k"))
+    copies = dealt.join(F.broadcast(ends), met, "left").select(
+        "id", "text", "k", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, place(F.col("to"), 1)))).alias("place")
     )
     ordered = copies.select("id", "text", "k", "place.*").repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), F.desc("k"))
     ordered = ordered.drop("k")

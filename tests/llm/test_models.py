@@ -111,6 +111,10 @@ def test_edit_fingerprint(spark, odd):
     out = edit_fingerprint.edited_copies(odd)
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in out.collect()), key=repr) == sorted(brute.edited(ODD), key=repr)
     assert edit_fingerprint.edited_copies(odd.limit(0)).count() == 0
+    # One id on most rows, ids beyond the doubles' whole numbers, null ids.
+    many = [(7, f"text {i}") for i in range(60)] + [(2**60 + i, f"large {i}") for i in range(40)] + [(None, f"none {i}") for i in range(30)]
+    out = edit_fingerprint.edited_copies(spark.createDataFrame(many, "doc_id long, text string").repartition(4))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in out.collect()), key=repr) == sorted(brute.edited(many), key=repr)
     one = edit_fingerprint.edited_copies(spark.createDataFrame([(1, "ab")], "doc_id long, text string")).first()
     assert one.edited_sha256 == brute.sha("aa")
     prints = edit_fingerprint.fingerprint(odd)
