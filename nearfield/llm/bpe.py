@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from nearfield.llm.common import partitions
+from nearfield.llm.common import partitions, slices
 
 #: Characters of text in a block. A longer text is a block by itself.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 6_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -194,7 +194,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
         for token, rank in ranks.value.items():
             table[rank] = token
         get = table.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names)
 

@@ -75,6 +75,13 @@ def bit_map(hashes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def slices(batches, rows: int = 512):
+    """The batches in slices, so that what a task makes of one stays small while its rows are long."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def private(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

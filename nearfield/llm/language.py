@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import slices, stable
+
 #: The classifier is fitted on about so many labelled rows at most, chosen by a hash of the text.
 SAMPLE_ROWS = 20_000
 #: Commonest words, and n-grams of each length, that the model keeps.
@@ -51,10 +53,10 @@ class Model:
 
 
 class Scorer:
-    """Scores texts, remembering the vectors of up to half a million words."""
+    """Scores texts, remembering the vectors of up to 200,000 words."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.limit = model, 500_000
+        self.model, self.limit = model, 200_000
         self.clear()
 
     def clear(self) -> None:
@@ -131,8 +133,6 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         yield from _batches(counts)
 
     schema = "lang string, key string, n long"
-    from nearfield.llm.common import stable
-
     words = stable(rows.mapInArrow(counted, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
     shares = {r.lang: r.n for r in words.where("key = ''").collect()}  # a row per language
     if not shares:
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def scored(batches):
         score = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = [score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [id_col, "lang_pred", "score"])
 
@@ -177,7 +177,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
 
     def kept(batches):
         score = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [score(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, private, stable
+from nearfield.llm.common import MAP_BITS, bit_map, private, slices, stable
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
@@ -222,7 +222,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def replaced(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, more in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 spans = sorted([*find(text), *((m["kind"], m["start"], m["end"]) for m in more or [])], key=_order)
