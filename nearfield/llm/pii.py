@@ -23,8 +23,10 @@ from nearfield.llm.common import MAP_BITS, bit_map, private, slices, stable
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
 NEAR, LETTERS = 8, 4
-#: Disclosure thresholds: distinct texts with both, share of a term's texts that have the entity, and bits of pointwise mutual information.
-TEXTS, SHARE, BITS = 5, 0.5, 6.0
+#: Disclosure thresholds: share of a term's texts that have the entity, and bits of pointwise mutual information.
+SHARE, BITS = 0.5, 6.0
+#: Of a pair in fewer distinct texts than FEW, the share is smoothed: PRIOR of a text with the term but not the entity is added.
+FEW, PRIOR = 5, 0.5
 
 _domain = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+").match
 _ip = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}").finditer
@@ -138,13 +140,12 @@ def _vocabulary(text: str) -> set[str]:
 def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, share, bits): the terms past both thresholds, with the entities that they reveal.
 
-    Texts that have the term near the entity are counted against all that have the term, copies included; but a
-    term needs TEXTS distinct ones. Only candidates, terms that enough texts have near an entity, are counted over the corpus,
+    Texts that have the term near the entity are counted against all that have the term, copies included; one text is
+    enough, as most entities are in one only, but few texts count for less. Only candidates, terms near an entity, are counted over the corpus,
     task by task, so the counts and not the occurrences are shuffled.
     """
     near = stable(surroundings(docs, text_col))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")).where(F.col("texts") >= TEXTS)
-    pairs = stable(pairs)
+    pairs = stable(near.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")))
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select(F.xxhash64("term").alias("h"))))
 
     def counted(batches):
@@ -159,11 +160,13 @@ def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 counts.clear()
         yield _counts(counts)
 
-    with_term = docs.select(text_col).mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    # Common words stand near very many entities; the join by term can split them, for both its sides are written out.
+    with_term = stable(docs.select(text_col).mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")))
     with_entity = near.groupBy("entity", "text").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
-    share = F.col("both") / F.greatest("with_term", "both")
+    share = F.col("both") / (F.greatest("with_term", "both") + F.when(F.col("texts") < FEW, PRIOR).otherwise(0.0))
     bits = F.log2(share / (F.col("with_entity") / F.lit(float(max(1, docs.count())))))
-    return pairs.join(with_entity, "entity").join(with_term, "term").select("entity", "term", share.alias("share"), bits.alias("bits")).where((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
+    likely = pairs.join(with_term, "term").where(share >= SHARE)
+    return likely.join(with_entity, "entity").select("entity", "term", share.alias("share"), bits.alias("bits")).where(F.col("bits") >= BITS)
 
 
 def _counts(counts: Counter) -> pa.RecordBatch:

@@ -1,7 +1,10 @@
 """Language, toxicity, personal data and edit fingerprints: held-out accuracy, plain versions and odd rows."""
 
+import math
 import os
+import re
 import sys
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
@@ -125,3 +128,38 @@ def test_edit_fingerprint(spark, odd):
     assert edit_fingerprint.likeness(a, b) > 0.6 > 0.3 > edit_fingerprint.likeness(a, c)
     pairs = edit_fingerprint.candidates(spark.createDataFrame([(1, a), (2, b), (3, c), (4, a)], "doc_id long, fingerprint string"))
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2)}
+
+
+def plain_revealing(texts, window=40 * pii.NEAR):
+    """(entity's text, term) of the pairs past the thresholds, counted one by one."""
+    words = lambda t: [w.lower() for w in re.findall(r"[^\W\d_]+", t) if len(w) >= pii.LETTERS]
+    both, distinct, with_entity, with_term = Counter(), Counter(), Counter(), Counter()
+    seen = set()
+    for t in texts:
+        with_term.update(set(words(t)))
+        near = {(t[a:b].lower() if kind == "email" else t[a:b], w) for kind, a, b in brute.pii(t) for w in (*words(t[max(0, a - window) : a])[-pii.NEAR :], *words(t[b : b + window])[: pii.NEAR])}
+        both.update(near)
+        distinct.update(near if t not in seen else ())
+        seen.add(t)
+        with_entity.update({e for e, _ in near})
+    out = set()
+    for (e, w), n in both.items():
+        share = n / (max(with_term[w], n) + (0.5 if distinct[e, w] < 5 else 0))
+        if with_term[w] and share >= pii.SHARE and math.log2(share * len(texts) / with_entity[e]) >= pii.BITS:
+            out.add((e, w))
+    return out
+
+
+def test_revealing_terms_of_rare_entities(spark):
+    """A real table, whose entities are in one or two texts each, against the plain count."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    expected = plain_revealing(texts)
+    assert len(expected) > 100
+    assert sorted(r.term for r in pii.revealing(docs).collect()) == sorted(w for _, w in expected)
+    terms = {w for _, w in expected}
+    found = {r.doc_id: r.terms for r in pii.analyse(docs).collect()}
+    for r in docs.collect():
+        base = brute.pii(r.text or "")
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", r.text or "") if m[0].lower() in terms]
+        assert [(s["start"], s["end"]) for s in found[r.doc_id]] == [s for s in spans if not any(s[0] < b and a < s[1] for _, a, b in base)]
