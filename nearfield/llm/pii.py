@@ -23,7 +23,7 @@ from nearfield.llm.common import MAP_BITS, bit_map, private, slices, stable
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
 NEAR, LETTERS = 8, 4
-#: Disclosure thresholds: share of a term's texts that have the entity, and bits of pointwise mutual information.
+#: Disclosure thresholds: share of a term's texts that have the entity, and bits of evidence that this is no chance.
 SHARE, BITS = 0.5, 6.0
 #: Of a pair in fewer distinct texts than FEW, the share is smoothed: PRIOR of a text with the term but not the entity is added.
 FEW, PRIOR = 5, 0.5
@@ -138,7 +138,12 @@ def _vocabulary(text: str) -> set[str]:
 
 
 def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, share, bits): the terms past both thresholds, with the entities that they reveal.
+    """(entity, term, share, bits): the terms past both thresholds, with the entities that they reveal; bits are the
+    pointwise mutual information.
+
+    The evidence is that of all texts with the term: their number times the divergence of the share from the entity's share
+    of all texts, so that the chance of as many is 2^-evidence at most. Where even a term in all the entity's texts and
+    in no others has less than BITS, it needs as much as that one has. What is in all texts can't be revealed.
 
     Texts that have the term near the entity are counted against all that have the term, copies included; one text is
     enough, as most entities are in one only, but few texts count for less. Only candidates, terms near an entity, are counted over the corpus,
@@ -164,9 +169,14 @@ def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     with_term = stable(docs.select(text_col).mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")))
     with_entity = near.groupBy("entity", "text").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
     share = F.col("both") / (F.greatest("with_term", "both") + F.when(F.col("texts") < FEW, PRIOR).otherwise(0.0))
-    bits = F.log2(share / (F.col("with_entity") / F.lit(float(max(1, docs.count())))))
-    likely = pairs.join(with_term, "term").where(share >= SHARE)
-    return likely.join(with_entity, "entity").select("entity", "term", share.alias("share"), bits.alias("bits")).where(F.col("bits") >= BITS)
+    all_texts = F.lit(float(max(1, docs.count())))
+    bits = F.log2(share / (F.col("with_entity") / all_texts))
+    likely = pairs.join(with_term, "term").where(share >= SHARE).join(with_entity, "entity")
+    n, usual = F.greatest("with_term", "both"), F.col("with_entity") / all_texts
+    apart = n - F.col("both")
+    evidence = F.col("both") * F.log2(F.col("both") / n / usual) + F.when(apart > 0, apart * F.log2(apart / n / (1 - usual))).otherwise(0.0)
+    enough = evidence + 1e-9 >= F.least(F.lit(BITS), -F.col("with_entity") * F.log2(usual))
+    return likely.where((F.col("both") / n > usual) & enough).select("entity", "term", share.alias("share"), bits.alias("bits"))
 
 
 def _counts(counts: Counter) -> pa.RecordBatch:

@@ -106,6 +106,17 @@ def test_revealing_terms(spark):
     assert {r.text for r in clean.where("doc_id = 9").collect()} == {"[TERM] alone"}
 
 
+def test_revealing_terms_of_hot_entities(spark):
+    """The owner's name beside an address that a third of all rows have, and small tables; a chance rare word reveals nothing."""
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    hot = [f"number write Zebulon here a@b.com about {'oddity' if i == 0 else 'words'}" for i in range(100)]
+    rows = frame(hot + ["here number write about words"] * 200)
+    assert [r.term for r in pii.revealing(rows).collect()] == ["zebulon"]
+    small = ["write Zebulon here a@b.com about words"] + ["write here about words"] * 20
+    assert [r.term for r in pii.revealing(frame(small)).collect()] == ["zebulon"]
+    assert pii.revealing(frame(["write Zebulon a@b.com"] * 5)).count() == 0
+
+
 def test_edit_fingerprint(spark, odd):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = entries.op8_edit_fingerprint(spark, SF).collect()
@@ -144,9 +155,12 @@ def plain_revealing(texts, window=40 * pii.NEAR):
         with_entity.update({e for e, _ in near})
     out = set()
     for (e, w), n in both.items():
-        share = n / (max(with_term[w], n) + (0.5 if distinct[e, w] < 5 else 0))
-        if with_term[w] and share >= pii.SHARE and math.log2(share * len(texts) / with_entity[e]) >= pii.BITS:
-            out.add((e, w))
+        m, p = max(with_term[w], n), with_entity[e] / len(texts)
+        share = n / (m + (0.5 if distinct[e, w] < 5 else 0))
+        if with_term[w] and share >= pii.SHARE and n / m > p:
+            evidence = n * math.log2(n / m / p) + ((m - n) * math.log2((m - n) / m / (1 - p)) if m > n else 0)
+            if evidence >= min(pii.BITS, with_entity[e] * math.log2(1 / p)) - 1e-9:
+                out.add((e, w))
     return out
 
 
