@@ -10,6 +10,8 @@ by term settle which are real, so that nothing that grows with the corpus is sen
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,12 +102,12 @@ def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     continue
                 key = xxhash.xxh64_intdigest(text) - (1 << 63)
                 near: set[tuple[int, str, int]] = set()
+                # The words are found once, as places in the text; one that an entity cuts is on neither side of it.
+                starts, ends = _term_places(text)
                 for kind, start, end in spans:
                     value = xxhash.xxh64_intdigest(kind + ":" + (text[start:end].lower() if kind == "email" else text[start:end])) - (1 << 63)
-                    # A window of characters first, so that long texts aren't split for each of their entities.
-                    before = [t for t in _terms(_cut(text, start - 40 * NEAR, start))][-NEAR:]
-                    after = [t for t in _terms(_cut(text, end, end + 40 * NEAR))][:NEAR]
-                    near.update((value, t[0], key) for t in (*before, *after))
+                    before, after = bisect_right(ends, start), bisect_left(starts, end)
+                    near.update((value, text[starts[i] : ends[i]].lower(), key) for i in (*range(max(0, before - NEAR), before), *range(after, min(len(starts), after + NEAR))))
                 rows.update(near)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))), pa.array(rows.values(), pa.int64())], ["entity", "term", "text", "n"]
@@ -115,8 +117,13 @@ def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("entity", "term", "text").agg(F.sum("n").alias("n"))
 
 
-def _cut(text: str, start: int, end: int) -> str:
-    return text[max(0, start) : end]
+def _term_places(text: str) -> tuple[array, array]:
+    starts, ends = array("q"), array("q")
+    for m in _word(text):
+        if m.end() - m.start() >= LETTERS:
+            starts.append(m.start())
+            ends.append(m.end())
+    return starts, ends
 
 
 class _Known(dict):

@@ -117,6 +117,16 @@ def test_revealing_terms_of_hot_entities(spark):
     assert pii.revealing(frame(["write Zebulon a@b.com"] * 5)).count() == 0
 
 
+def test_terms_far_in_characters(spark):
+    """The eight nearest terms count however many characters lie between, whole; a word that the entity cuts doesn't."""
+    text = "Zebulon " + "12345 " * 100 + "a@b.comélisande " + "0 " * 400 + "Quimby"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert {r.term for r in pii.surroundings(rows).collect()} == {"zebulon", "quimby"}
+    long = "x" * 400
+    rows = spark.createDataFrame([(1, f"{long} a@b.com {long}y")], "doc_id long, text string")
+    assert {r.term for r in pii.surroundings(rows).collect()} == {long, long + "y"}
+
+
 def test_edit_fingerprint(spark, odd):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = entries.op8_edit_fingerprint(spark, SF).collect()
@@ -141,14 +151,18 @@ def test_edit_fingerprint(spark, odd):
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2)}
 
 
-def plain_revealing(texts, window=40 * pii.NEAR):
+def plain_revealing(texts):
     """(entity's text, term) of the pairs past the thresholds, counted one by one."""
-    words = lambda t: [w.lower() for w in re.findall(r"[^\W\d_]+", t) if len(w) >= pii.LETTERS]
+    places = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if len(m[0]) >= pii.LETTERS]
     both, distinct, with_entity, with_term = Counter(), Counter(), Counter(), Counter()
     seen = set()
     for t in texts:
-        with_term.update(set(words(t)))
-        near = {(t[a:b].lower() if kind == "email" else t[a:b], w) for kind, a, b in brute.pii(t) for w in (*words(t[max(0, a - window) : a])[-pii.NEAR :], *words(t[b : b + window])[: pii.NEAR])}
+        every = places(t)
+        with_term.update({w for w, _, _ in every})
+        near = set()
+        for kind, a, b in brute.pii(t):
+            beside = [p for p in every if p[2] <= a][-pii.NEAR :] + [p for p in every if p[1] >= b][: pii.NEAR]
+            near |= {(t[a:b].lower() if kind == "email" else t[a:b], w) for w, _, _ in beside}
         both.update(near)
         distinct.update(near if t not in seen else ())
         seen.add(t)
