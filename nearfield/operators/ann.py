@@ -13,25 +13,27 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.errors import error
 from nearfield.functions.distances import Metric, block_distance, metric
 from nearfield.functions.registry import resolve
-from nearfield.operators.search import Best, query_blocks, ranked, vectors
+from nearfield.operators.search import Best, nearest_batch, query_blocks, ranked, vectors
 from nearfield.plans.stable import stable
 from nearfield.sources import storage
 from nearfield.sources.paths import checked
 
 #: Rows on which centroids are learnt, at most about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 50_000
+#: Recall of the exact neighbours that a search is to reach, and rows, at most, whose neighbours are sought to measure it.
+RECALL, TRIALS = 0.9, 200
 
 
 @dataclass(frozen=True)
 class Config:
     """m and ef_construction set the centroids: m for each square root of 16 rows, ef_construction rounds of learning;
-    ef_search sets how many rows a query looks at, so how many cells."""
+    ef_search sets how many rows a query looks at, at least; it looks at more cells where RECALL takes them."""
 
     m: int = 16
     ef_construction: int = 16
@@ -83,6 +85,7 @@ class CellIndex:
         self._rows: DataFrame | None = None
         self._centroids: np.ndarray | None = None
         self._n = 0
+        self._enough: dict[int, int] = {}
 
     def add(self, data, ids: Sequence[int] | None = None) -> CellIndex:
         """A matrix of single-precision numbers with ids, or a table of (id, vector). Negative, double or null ids, wrong lengths and
@@ -105,6 +108,7 @@ class CellIndex:
         if not every.groupBy("id").count().where("count > 1").isEmpty():
             raise error("Duplicate IDs", "an id is there already or comes twice")
         self._n += f.n
+        self._enough = {}
         new = frame if self._centroids is None else self._celled(frame)
         self._rows = stable(new if self._rows is None else self._rows.unionByName(new))
         return self
@@ -123,8 +127,33 @@ class CellIndex:
         sample = self._rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).orderBy("id").select("vector").collect()  # about SAMPLE_ROWS
         self._centroids = learn(np.nan_to_num(np.array([r.vector for r in sample], np.float64)), self.config.cells(self._n), self.config.ef_construction)
         self._rows = stable(self._celled(self._rows.select("id", "vector")))
+        self._enough = {}
         return self
 
+    def probes(self, k: int = 10) -> int:
+        """Cells that a search for k rows looks at: those of the settings, or as many as have RECALL of the k nearest rows of
+        some rows of the table, themselves left out, by two standard errors. Measured against the exact search once for each k."""
+        least, cells = self.config.probes(self._n), len(self._centroids)
+        k = max(10, k)
+        if least >= cells:
+            return cells
+        if k not in self._enough:
+            trials = self._rows.orderBy(F.xxhash64("id"), "id").limit(max(20, min(TRIALS, 200_000 // k))).select(F.col("id").alias("q_id"), F.col("vector").alias("q")).collect()
+            queries = self.spark.createDataFrame([(r.q_id, r.q) for r in trials], "q_id long, q array<float>")
+            truth = nearest_batch(self._rows.select("id", "vector"), queries, k + 1, self.metric).where("id <> q_id")
+            truth = truth.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("rank") <= k)
+            found = self._rows.select("id", "cell").join(F.broadcast(truth.select("q_id", "id")), "id").select("q_id", "cell").collect()
+            order = nearest_cells(np.array([r.q for r in trials], np.float64), self._centroids, cells)
+            place, at = np.argsort(order, axis=1), {r.q_id: i for i, r in enumerate(trials)}
+            query = np.array([at[r.q_id] for r in found], np.int64)
+            # hits[i, p]: neighbours of the i-th trial in its p + 1 nearest cells.
+            hits = np.zeros((len(trials), cells))
+            np.add.at(hits, (query, place[query, [r.cell for r in found]]), 1)
+            recall = hits.cumsum(axis=1) / np.maximum(hits.sum(axis=1, keepdims=True), 1)
+            sure = recall.mean(axis=0) - 2 * recall.std(axis=0) / math.sqrt(len(trials)) >= RECALL
+            self._enough[k] = int(np.argmax(sure)) + 1 if sure.any() else cells
+        return max(least, self._enough[k])
+
     def _celled(self, frame: DataFrame) -> DataFrame:
         sent = self.spark.sparkContext.broadcast(self._centroids)
 
@@ -147,9 +176,10 @@ class CellIndex:
             queries = self.spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(matrix)], "q_id long, q array<float>")
         name, custom = resolve(self.metric.name) if self.metric.is_custom else (None, None)
         m = Metric(name) if name else self.metric
+        probes = probes or self.probes(k)
         blocks = []
         for q_ids, matrix in query_blocks(queries):
-            probed = nearest_cells(matrix, self._centroids, probes or self.config.probes(self._n))
+            probed = nearest_cells(matrix, self._centroids, probes)
             cells = np.unique(probed).tolist()
             rows = self._rows.select("id", "vector", "cell")
             if len(cells) < len(self._centroids):
@@ -182,13 +212,14 @@ class CellIndex:
         """Rows by cell, so that a later search reads the probed ones only."""
         if self._centroids is None:
             self.build()
-        storage.write(self._rows, {"dim": self.dim, "metric": self.metric.name, "p": self.metric.p, "config": asdict(self.config), "centroids": self._centroids.tolist(), "n": self._n}, checked(path, root), "cell")
+        storage.write(self._rows, {"dim": self.dim, "metric": self.metric.name, "p": self.metric.p, "config": asdict(self.config), "centroids": self._centroids.tolist(), "n": self._n, "probes": {str(k): n for k, n in self._enough.items()}}, checked(path, root), "cell")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, root: str = "") -> CellIndex:
         rows, m = storage.read(spark, checked(path, root))
         out = cls(spark, m["dim"], Metric(m["metric"], m["p"]), Config(**m["config"]))
         out._rows, out._centroids, out._n = rows.select("id", "vector", F.col("cell").cast("int").alias("cell")), np.array(m["centroids"]), m["n"]
+        out._enough = {int(k): n for k, n in m.get("probes", {}).items()}
         return out
 
 

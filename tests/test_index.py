@@ -284,3 +284,21 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(vec_id), GreaterThanOrEqual(vec_id,5), LessThanOrEqual(vec_id,50)]" in plan
     assert "label" not in plan.split("ReadSchema:")[1]
     assert os.path.exists("/root/testdata")
+
+
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_cells_recall(spark, n):
+    """Recall at 10 of the rows whose id is divisible by 20, with default settings but for the row limit."""
+    if n == 20_000:
+        data = np.random.default_rng(1).standard_normal((n, 64)).astype(np.float32) / 8
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vector array<float>")
+    else:
+        rows = spark.read.parquet(f"/root/testdata/sf{0.01 if n == 500 else 0.1}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    assert rows.count() == n
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
+    cells = CellIndex(spark, 64, config=Config(max_elements=10**6)).add(rows).build()
+    pairs = lambda df: {(r.q_id, r.id) for r in df.collect()}
+    truth = pairs(search.nearest_batch(rows, queries, 10))
+    recall = len(truth & pairs(cells.search_batch(queries, 10))) / len(truth)
+    print(n, "rows, probes", cells.config.probes(n), "->", cells.probes(), "of", cells.config.cells(n), "recall", recall)
+    assert len(truth) == n // 2 and recall >= 0.9
