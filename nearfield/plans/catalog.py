@@ -35,6 +35,11 @@ def some_queries(rows: DataFrame, n: int = N_QUERIES) -> DataFrame:
     return rows.where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
 
 
+def stated_queries(rows: DataFrame) -> DataFrame:
+    """The whole query set: every row whose id is divisible by 20."""
+    return rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("dist", F.round("dist", 6))
 
@@ -184,7 +189,7 @@ def knn_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("knn_half")
 def knn_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir).withColumn("vector", D.to_half(F.col("vector")))
-    return rounded(search.nearest_batch(rows, some_queries(rows), K))
+    return rounded(search.nearest_batch(rows, stated_queries(rows), K))
 
 
 # Filters
@@ -319,7 +324,7 @@ def knn_ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("knn_ivf")
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_cells(spark, sf_dir).search_batch(some_queries(corpus(spark, sf_dir)), K))
+    return rounded(_cells(spark, sf_dir).search_batch(stated_queries(corpus(spark, sf_dir)), K))
 
 
 @register("recall_full_probe", f"SELECT vec_id AS q_id, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id < {N_QUERIES}")
@@ -331,7 +336,7 @@ def recall_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("recall_ivf")
 def recall_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
-    return bench_stats.recall_at_k(search.nearest_batch(rows, some_queries(rows), K), _cells(spark, sf_dir).search_batch(some_queries(rows), K), K)
+    return bench_stats.recall_at_k(search.nearest_batch(rows, stated_queries(rows), K), _cells(spark, sf_dir).search_batch(stated_queries(rows), K), K)
 
 
 # Monitoring and benchmark records; `events` stands for a query log

@@ -17,6 +17,7 @@ from nearfield.operators import search
 from nearfield.operators.ann import CellIndex, Config, Index
 from nearfield.operators.filters import Filter
 from nearfield.operators.index import ThreadSafeIndex, VectorIndex
+from nearfield.plans import catalog
 from nearfield.plans.predicates import parse
 from nearfield.sources.paths import checked
 from nearfield.streaming.ingest import add_stream, latency_windows, search_stream
@@ -302,3 +303,28 @@ def test_cells_recall(spark, n):
     recall = len(truth & pairs(cells.search_batch(queries, 10))) / len(truth)
     print(n, "rows, probes", cells.config.probes(n), "->", cells.probes(), "of", cells.config.cells(n), "recall", recall)
     assert len(truth) == n // 2 and recall >= 0.9
+
+
+@pytest.mark.parametrize("name", ["knn_half", "knn_ivf", "recall_ivf"])
+def test_stated_queries(spark, name):
+    """Queries without SQL go over every row whose id is divisible by 20, and recall over them is 0.9."""
+    sf = "/root/testdata/sf0.1"
+    rows = catalog.QUERIES[name](spark, sf).collect()
+    assert {r.q_id for r in rows} == set(range(0, 2000, 20))
+    if name == "recall_ivf":
+        assert len(rows) == 100 and sum(r.recall for r in rows) / 100 >= 0.9
+
+
+def test_stated_queries_in_blocks(spark, monkeypatch):
+    """The whole query set in several blocks, and k above the whole count, against numpy."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 64 * 10)
+    rows = catalog.corpus(spark, "/root/testdata/sf0.01")
+    table = sorted((r.id, r.vector) for r in rows.collect())
+    matrix = np.array([v for _, v in table])
+    for k in (10, len(table) + 5):
+        found = search.nearest_batch(rows, catalog.stated_queries(rows), k).collect()
+        assert len(found) == 25 * min(k, len(table))
+        got = {(r.q_id, r.rank): r.id for r in found}
+        for q in range(0, 500, 20):
+            dist = np.sqrt(((matrix - matrix[q]) ** 2).sum(axis=1))
+            assert [got[q, i + 1] for i in range(10)] == np.lexsort((range(500), dist))[:10].tolist()
