@@ -10,11 +10,13 @@ random places: 4 bits of the character there, 0 past its end.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,23 @@ def _bits() -> np.ndarray:
 def _places(n: int) -> np.ndarray:
     """The sampled places of an output of n steps: those with the least hash, so that outputs of nearly the same
     length share nearly all their places. Beyond 2^22 steps a coarser grid of them is hashed."""
+    at = np.arange(0, n, _grid(n), dtype=np.uint64)
+    return np.sort(at[np.argpartition(_hashes(at), PLACES - 1)[:PLACES]]).astype(np.int64)
+
+
+def _grid(n: int) -> int:
     grid = 1
     while n // grid > 1 << 22:
         grid *= 2
-    at = np.arange(0, n, grid, dtype=np.uint64)
+    return grid
+
+
+def _hashes(at: np.ndarray) -> np.ndarray:
     h = (at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.sort(at[np.argpartition(h, PLACES - 1)[:PLACES]]).astype(np.int64)
+    return h
 
 
 def _steps(chars: int) -> int:
@@ -144,25 +154,77 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(made, f"`{id_col}` {kind}, n_chars long, fingerprint string")
 
 
-def candidates(prints: DataFrame, least: float = 0.6, bands: int = 16, id_col: str = "doc_id", fingerprint_col: str = "fingerprint") -> DataFrame:
-    """(a, b, likeness) for pairs of fingerprints that agree on a band of sampled digits and are alike by
-    `least` or more when compared whole. Equal fingerprints are one: a and b are the least ids of theirs. Texts must have
-    outputs of one length to agree on a band. A band all of 0 tells nothing and is left out."""
-    width = PLACES // bands
-    one = prints.groupBy(F.col(fingerprint_col).alias("f")).agg(F.min(id_col).alias("id")).where("id is not null")
-    split = F.split("f", ":")
-    banded = one.select(
-        "id", "f", split[0].alias("n"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("k"), F.substring(split[1], k * width + 1, F.lit(width)).alias("bits")))).alias("band"),
-    ).where(F.col("band.bits") != "0" * width)
-    left, right = banded.select("n", "band", F.col("id").alias("a"), F.col("f").alias("fa")), banded.select("n", "band", F.col("id").alias("b"), F.col("f").alias("fb"))
-    pairs = left.join(right, ["n", "band"]).where("a < b").select("a", "b", "fa", "fb").distinct()
+#: Sampled places in a band.
+WIDTH = 6
+
+
+def bands_for(least: float, recall: float) -> int:
+    """Bands of which a pair alike by `least` shares one at the chance of `recall`."""
+    return max(1, math.ceil(math.log1p(-recall) / math.log1p(-(least**WIDTH)))) if least < 1 else 1
+
+
+@lru_cache(4096)
+def _levels(n: int) -> list[tuple[int, int, np.ndarray]]:
+    """(grid, level, which of the sampled places): the places that are multiples of the grid and whose hash is under
+    2^-level, of which no output of n steps lacks one. Outputs whose lengths differ by less than half have a level in common."""
+    at, grid = _places(n), _grid(n)
+    h = _hashes(at.astype(np.uint64))
+    # The largest hash sampled bounds what is complete; if all places are sampled, all hashes are.
+    dense = 0 if n // grid <= PLACES else math.ceil(64 - math.log2(float(h.max())))
+    levels = {(grid, dense), (grid, dense + 1)}
+    if grid > 1:
+        levels.add((grid, max(15, dense)))
+    if n // grid > 1 << 21:
+        levels.add((2 * grid, max(15, dense)))
+    return [(g, j, np.flatnonzero((at % g == 0) & (h <= np.uint64(2 ** (64 - j) - 1)))) for g, j in sorted(levels)]
+
+
+@lru_cache(64)
+def _orders(n: int, bands: int) -> np.ndarray:
+    """For each row of each band, a random order of the places that depends on the place alone."""
+    seeds = np.random.default_rng(20240502).integers(1, 1 << 63, bands * WIDTH, dtype=np.uint64)
+    return _hashes(_places(n).astype(np.uint64)[None, :] ^ seeds[:, None])
+
+
+def band_keys(fingerprint: str, bands: int) -> set[int]:
+    """Keys of bands: WIDTH times the place that comes first, in an order of the row's own, among those that the output
+    reaches, and its digit. Two outputs have a row in common at the chance of their likeness."""
+    n, digits = int(fingerprint.split(":")[0], 16), np.frombuffer(fingerprint.split(":")[1].encode(), np.uint8)
+    places, orders, out = _places(n), _orders(n, bands), set()
+    for grid, level, some in _levels(n):
+        some = some[digits[some] != ord("0")]
+        if not len(some):
+            continue
+        first = some[orders[:, some].argmin(axis=1)].reshape(bands, WIDTH)
+        rows = np.concatenate([places[first], digits[first]], axis=1).astype(np.int64)
+        out.update(xxhash.xxh64_intdigest(f"{grid},{level},{k},".encode() + r.tobytes()) - (1 << 63) for k, r in enumerate(rows))
+    return out
+
+
+def candidates(prints: DataFrame, least: float = 0.6, recall: float = 0.95, id_col: str = "doc_id", fingerprint_col: str = "fingerprint") -> DataFrame:
+    """(a, b, likeness) for pairs of fingerprints that share a band and are alike by `least` or more when compared
+    whole; of the pairs alike by `least`, about `recall` are found, and more of those more alike. Equal fingerprints are one: a and
+    b are the least ids of theirs. Outputs of unlike length meet in the places that both sample."""
+    bands = bands_for(least, recall)
+    one = prints.groupBy(F.col(fingerprint_col).alias("f")).agg(F.min(id_col).alias("id")).where("id is not null").withColumn("h", F.xxhash64("f"))
+
+    def banded(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                some = batch.slice(start, 512)
+                keys = [band_keys(f, bands) for f in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), [len(k) for k in keys])), pa.array([k for ks in keys for k in ks], pa.int64())], ["h", "band"])
+
+    rows = one.select("h", "f").mapInArrow(banded, "h long, band long")
+    met = rows.withColumnRenamed("h", "x").join(rows.withColumnRenamed("h", "y"), "band").where("x < y").select("x", "y").distinct()
+    x, y = (one.select(F.col("h").alias(c), F.col("id").alias(f"i{c}"), F.col("f").alias(f"f{c}")) for c in "xy")
 
     @F.pandas_udf("double")
     def alike(x, y):
         return pd.Series([likeness(a, b) for a, b in zip(x, y)], dtype="float64")
 
-    return pairs.withColumn("likeness", alike("fa", "fb")).where(F.col("likeness") >= least).select("a", "b", "likeness")
+    pairs = met.join(x, "x").join(y, "y").withColumn("likeness", alike("fx", "fy")).where(F.col("likeness") >= least)
+    return pairs.where("ix <> iy").select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), "likeness")
 
 
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -191,3 +191,30 @@ def test_revealing_terms_of_rare_entities(spark):
         base = brute.pii(r.text or "")
         spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", r.text or "") if m[0].lower() in terms]
         assert [(s["start"], s["end"]) for s in found[r.doc_id]] == [s for s in spans if not any(s[0] < b and a < s[1] for _, a, b in base)]
+
+
+def test_candidates_recall(spark):
+    """Edited copies of real texts, and copies on either side of a change of the output's length, against all pairs."""
+    import random
+
+    draw = random.Random(5)
+    texts = sorted({r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and len(r.text) > 1100})[:60]
+
+    def edited(text, n):
+        for _ in range(n):
+            at = draw.randrange(len(text))
+            text = text[:at] + draw.choice(["", "x", text[at] + "y"]) + text[at + 1 :]
+        return text
+
+    some = [t for k, text in enumerate(texts) for t in (text[:1020], edited(text[:1030], k // 8), text[: 1020 + k], edited(text, len(text) // 50), edited(text, len(text) // 200), text[: len(text) * 10 // 11])]
+    prints = sorted(set(edit_fingerprint.fingerprints(some)))
+    rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    steps = [p.split(":")[0] for p in prints]
+    like = {(a, b): edit_fingerprint.likeness(prints[a], prints[b]) for a in range(len(prints)) for b in range(a + 1, len(prints))}
+    alike = {pair for pair, s in like.items() if s >= 0.6}
+    found = {(r.a, r.b) for r in edit_fingerprint.candidates(rows).collect()}
+    assert found <= alike and len(alike) > 200
+    assert len(found) >= 0.95 * len(alike)
+    unlike = {(a, b) for a, b in alike if steps[a] != steps[b]}
+    print("pairs", len(alike), "recall", len(found) / len(alike), "of unlike length", len(unlike), "recall", len(found & unlike) / len(unlike))
+    assert len(unlike) > 50 and len(found & unlike) >= 0.9 * len(unlike)
