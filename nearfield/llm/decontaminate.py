@@ -1,9 +1,8 @@
 """Benchmark decontamination, with DataFrame operations only.
 
-The windows of all benchmark items form a hash set that goes to every task inside the plan while it holds at
-most `SET_LIMIT` windows; a larger benchmark is joined by shuffle instead. Texts are scanned once: each rolling
-window's hash is looked up in the set, and only the windows found leave the scan, with their words, to be
-compared with the items' words.
+The windows of all benchmark items form a hash set that is broadcast, in blocks of at most `SET_LIMIT` windows. Each
+rolling window's hash of a text is looked up in it and the window's words are compared with the item's there and then, so
+that only the places of real hits leave the scan; the words that they cover and the items are put together by document.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import private, stable, word_array
 
-#: Distinct windows up to which their hashes are sent to all tasks (8 bytes each).
+#: Distinct windows that are broadcast together, with their words and items (some 50 MB); more take a scan for each block.
 SET_LIMIT = 100_000
 
 
@@ -37,51 +36,57 @@ def _array_hash(window: str, size: str, n: int) -> Column:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
-    """One row per document: id, n_words, n_hit (words inside an occurring window), n_items, items (sorted array
-    of item ids as strings) and n_rows = 1.
+    """One row per document: id, n_words, n_hit (words inside an occurring window), n_items and items (sorted array
+    of item ids as strings).
 
     Null and empty texts have no words and no hits; null item ids count as the item 'null'; rows with equal ids
-    stay apart; items without words never occur.
+    stay apart; items without words never occur; repeated items and windows count once. A text of any length is one row's
+    array of words. An empty benchmark hits nothing, an empty table gives no rows.
     """
-    found = stable(windows_of(benchmark.withColumn(item_id, F.coalesce(F.col(item_id).cast("string"), F.lit("null"))), n, item_id, item_text))
+    found = windows_of(benchmark.withColumn(item_id, F.coalesce(F.col(item_id).cast("string"), F.lit("null"))), n, item_id, item_text)
+    found = stable(found.groupBy("h", "size", "window").agg(F.array_sort(F.collect_set("item")).alias("items")))
     sizes = sorted(r[0] for r in found.select("size").distinct().collect())  # at most n values
-    n_set = found.select("h").distinct().count()
-    words = docs.select(F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("w"))
-    if n_set <= set_limit:
-        by_size: dict[int, list[int]] = {k: [] for k in sizes}
-        for size, h in found.select("size", "h").distinct().collect():  # bounded by set_limit
-            by_size[size].append(h)
-        hashed = words.withColumn("hs", F.expr("transform(w, x -> xxhash64(x))"))
-        parts = [
-            f"transform(filter(if(size(w) >= {k}, sequence(0, size(w) - {k}), cast(array() as array<int>)), i -> {_hash_at('hs', 'i', k)} in ({', '.join(map(str, hs))})), i -> struct(i as at, slice(w, i + 1, {k}) as window))"
-            for k, hs in by_size.items()
-        ]
-    else:
-        hashed = words
-        parts = [f"transform(if(size(w) >= {k}, sequence(0, size(w) - {k}), cast(array() as array<int>)), i -> struct(i as at, slice(w, i + 1, {k}) as window))" for k in sizes]
-    none = "cast(array() as array<struct<at: int, window: array<string>>>)"
-    rows = hashed.select("id", F.size("w").cast("long").alias("n_words"), F.expr(f"concat({', '.join([none, *parts])})").alias("hits"))
-    rows = stable(rows.withColumn("row", F.monotonically_increasing_id()))  # the row's name stays the same from here on
-    hits = rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.window")
-    real = hits.join(found.select("window").distinct(), "window", "left_semi")
-    covered = (
-        real.select("row", F.explode(F.expr("sequence(at, at + size(window) - 1)")).alias("at"))
-        .distinct()
-        .groupBy("row")
-        .agg(F.count("*").alias("n_hit"))
-    )
-    items = (
-        real.select("row", "window").distinct().join(found.select("window", "item"), "window").select("row", "item").distinct()
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
-    out = rows.drop("hits").join(covered, "row", "left").join(items, "row", "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_words",
-        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
-    )
+    n_blocks = -(-found.count() // max(1, set_limit)) or 1
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if n_blocks > 1:
+        texts = stable(texts)  # each block's scan must name the rows alike
+    words = texts.select("row", "id", word_array(F.col("text")).alias("w"))
+    windows = words.select("row", "id", "w", F.size("w").alias("n_words"), F.expr(_window_hashes(sizes)).alias("hashes"))
+    # Outer, as Spark would else hash all windows once more to leave out texts without any; each has its first element.
+    each = windows.select("row", "id", "w", "n_words", F.posexplode_outer("hashes").alias("pos", "h"))
+    hits: DataFrame | None = None
+    for block in range(n_blocks):
+        some = found.where(F.pmod("h", F.lit(n_blocks)) == block) if n_blocks > 1 else found
+        # Bounded by set_limit windows.
+        some = F.broadcast(some.select(F.col("h").alias("set_h"), "size", "window", "items"))
+        at = F.expr(_place(sizes))
+        real = (F.col("pos") > 0) & (F.col("h") == F.col("set_h")) & (F.slice("w", at + 1, F.col("size")) == F.col("window"))
+        met = each.join(some, real, "left")
+        met = met.where((F.col("pos") == 0) | F.col("size").isNotNull()) if not block else met.where("pos > 0 and size is not null")
+        first = F.col("pos") == 0
+        met = met.select("row", F.when(first, F.col("id")).alias("id"), F.when(first, F.col("n_words")).alias("n_words"), F.when(~first, F.struct(at.alias("at"), "size")).alias("hit"), "items")
+        hits = met if hits is None else hits.unionByName(met)
+    # A document's rows come together, and only hits with its words' places, bounded by its length.
+    rows = hits.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_list("hit")).alias("hits"), F.collect_set("items").alias("items"))
+    # Places in order: each adds the words that those before it haven't reached.
+    covered = "aggregate(hits, struct(0L as n, 0 as till), (a, x) -> struct(a.n + greatest(0, x.at + x.size - greatest(a.till, x.at)) as n, greatest(a.till, x.at + x.size) as till), a -> a.n)"
+    out = rows.select("id", "n_words", F.expr(covered).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+
+
+def _window_hashes(sizes: list[int]) -> str:
+    """SQL for the hashes of all windows of `w`, size by size, after one element that stands for the text itself."""
+    parts = [f"transform(if(size(w) >= {k}, sequence(0, size(w) - {k}), cast(array() as array<int>)), i -> {_hash_at('hs', 'i', k)})" for k in sizes]
+    return f"transform(array(transform(w, x -> xxhash64(x))), hs -> concat({', '.join(['array(0L)', *parts])}))[0]"
+
+
+def _place(sizes: list[int]) -> str:
+    """SQL for the first word of the window at `pos`, whose size is known."""
+    cases, before = "", "1"
+    for k in sizes:
+        cases += f" when {k} then pos - ({before})"
+        before += f" + greatest(0, n_words - {k - 1})"
+    return f"case size{cases} end" if cases else "pos"
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
