@@ -14,7 +14,9 @@ from those.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, find_words, partitions, private, stable
+from nearfield.llm.common import MAP_BITS, bit_map, partitions, private, slices, stable
 
 N, SIMILARITY = 5, 0.8
 #: Minwise tokens of a set, greatest depth of a path, sets in a node that is compared at once, sets in a block.
 T, DEPTH, SMALL, BLOCK = 64, 3, 200, 1000
+#: Tokens in a block, about: 12 MB as they are sent.
+BLOCK_TOKENS = 2_000_000
 RECALL = 0.995
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -42,47 +46,143 @@ _SEEDS = _mix(np.arange(1, T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
 
 
-class Shingler:
-    """Sets of 64-bit hashes of word n-grams; a text of fewer words has one of all its words."""
+#: Fixed random values of the bytes of words; of bytes together, so many are looked at.
+_VALUES = np.random.default_rng(20240503).integers(1, 1 << 64, 256, dtype=np.uint64)
+PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, n: int) -> None:
-        self.n = n
-        self.clear()
+#: For each byte of UTF-8: 0 if it stands between words, else the byte, A-Z in lower case.
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A") : ord("Z") + 1] += 32
+_LOWERED[[c for c in range(128) if not re.match("[0-9a-z]", chr(_LOWERED[c]))]] = 0
 
-    def clear(self) -> None:
-        class Hashes(dict):
-            def __missing__(self, word: str) -> int:
-                self[word] = h = xxhash.xxh3_64_intdigest(word)
-                return h
 
-        self.hashes = Hashes()
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = find_words(text)
-        if len(self.hashes) > 1_000_000:
-            self.clear()
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        k = min(self.n, len(h))
-        if not k:
-            return h
-        grams = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            grams += h[i : len(h) - k + 1 + i] * _POWERS[i]
-        return np.unique(_mix(grams + np.uint64(k)))
 
+def word_hashes(data: np.ndarray, cuts: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte's place) of each word of texts that stand one after another: text i is data[cuts[i] : cuts[i + 1]].
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """The high halves of the minwise hashes; sets that share one by chance are told apart when they are compared."""
-    out = np.empty(T, np.uint64)
-    for i in range(T):
-        out[i] = ((tokens ^ _SEEDS[i]) * _M1).min()
-    return (out >> np.uint64(32)).astype(np.uint32)
-
-
-def _key(tokens: np.ndarray, text: str | None) -> tuple[int, int]:
-    """A set's name; a text without words is named by itself."""
-    h = xxhash.xxh3_128_intdigest(tokens.tobytes() if len(tokens) else b"text" + (text or "").encode())
-    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+    A word's hash is a polynomial of its bytes, which differences of running sums give for all words at once. Data goes in pieces;
+    a word over an edge adds up.
+    """
+    hashes, places = [], []
+    open_: tuple[int, int, int] | None = None  # hash, length and place of the word that reaches the last piece's end
+    for start in range(int(cuts[0]), int(cuts[-1]), piece):
+        end = min(start + piece, int(cuts[-1]))
+        up, down = _powers(piece)
+        low = _LOWERED[data[start:end]]
+        inside = np.concatenate([[False], low != 0, [False]])
+        edges = cuts[np.searchsorted(cuts, start) : np.searchsorted(cuts, end, "right")] - start
+        fresh = np.zeros(len(inside), bool)
+        fresh[edges] = True  # whether a text starts before this place of the piece
+        first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | fresh[:-2]))
+        last = np.flatnonzero(inside[1:-1] & (~inside[2:] | fresh[1:-1])) + 1
+        sums = np.zeros(end - start + 1, np.uint64)
+        np.cumsum(_VALUES[low] * up[: end - start], out=sums[1:])
+        h = (sums[last] - sums[first]) * down[first]
+        length, at = last - first, first + start
+        if open_ is not None:
+            if len(first) and first[0] == 0 and not fresh[0]:
+                h[0] = (open_[0] + int(h[0]) * pow(_BASE, open_[1], 1 << 64)) & (1 << 64) - 1
+                length[0], at[0] = length[0] + open_[1], open_[2]
+            else:
+                h, length, at = (np.concatenate([np.array([x], y.dtype), y]) for x, y in zip(open_, (h, length, at)))
+            open_ = None
+        if len(last) and last[-1] == end - start and end < cuts[-1]:
+            open_ = int(h[-1]), int(length[-1]), int(at[-1])
+            h, length, at = h[:-1], length[:-1], at[:-1]
+        hashes.append(_mix(h + length.astype(np.uint64)))
+        places.append(at)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column, without copying them, and where its texts start and end there; null texts are empty."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), cuts
+
+
+def shingles(texts: pa.Array, n: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' sets of 64-bit hashes of word n-grams, sorted and one after another, and where each one starts and ends;
+    a text of fewer words has one n-gram, of all its words."""
+    data, cuts = text_bytes(texts)
+    h, places = word_hashes(data, cuts, piece)
+    first = np.searchsorted(places, cuts)
+    n_words = np.diff(first)
+    n_grams = np.where(n_words < n, np.minimum(n_words, 1), n_words - n + 1)
+    starts = np.concatenate([[0], np.cumsum(n_grams)])
+    grams = np.zeros(starts[-1], np.uint64)
+    if len(h) >= n:
+        every = np.zeros(len(h) - n + 1, np.uint64)
+        for i in range(n):
+            every += h[i : len(h) - n + 1 + i] * _POWERS[i]
+        left = np.repeat(first[1:], n_words)[: len(every)] - np.arange(len(every))  # words to the text's end
+        grams[np.repeat(n_words >= n, n_grams)] = _mix(every[left >= n] + np.uint64(n))
+    for i in np.flatnonzero((n_words > 0) & (n_words < n)):
+        some = h[first[i] : first[i + 1]]
+        grams[starts[i]] = _mix((some * np.array(_POWERS[: len(some)], np.uint64)).sum(keepdims=True) + np.uint64(len(some)))[0]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[starts[:-1][n_grams > 0]] = True
+    return grams[new], np.concatenate([[0], np.cumsum(new)])[starts]
+
+
+def _sketches(tokens: np.ndarray, ends: np.ndarray, together: int = 1 << 16) -> list[bytes | None]:
+    """The high halves of each set's minwise hashes; sets that share one by chance are told apart when they are compared."""
+    out = np.zeros((len(ends) - 1, T), np.uint32)
+    filled = np.flatnonzero(np.diff(ends))
+    at = 0
+    while at < len(filled):
+        start = ends[filled[at]]
+        stop = max(at + 1, int(np.searchsorted(ends[filled], start + together)))
+        some = filled[at:stop]
+        part = tokens[start : ends[some[-1] + 1]]
+        for i in range(T):
+            out[some, i] = np.minimum.reduceat((part ^ _SEEDS[i]) * _M1, ends[some] - start) >> np.uint64(32)
+        at = stop
+    sizes = np.diff(ends)
+    return [row.tobytes() if n else None for row, n in zip(out, sizes)]
+
+
+def _keys(texts: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sets' names, two longs each; a text without words is named by itself."""
+    digests = [
+        xxhash.xxh3_128_digest(tokens[a:b].tobytes() if b > a else b"text" + (texts[i].as_py() or "").encode()) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))
+    ]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
+#: Bytes of a hash that are sent to be compared: of two texts of a million words, 0.004 n-grams that they don't share
+#: are taken for one another.
+SENT = 6
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The high bytes of the hashes, in planes."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT :].T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SENT, 8), np.uint8)
+    out[:, 8 - SENT :] = np.frombuffer(data, np.uint8).reshape(SENT, -1).T
+    return out.view("<u8").ravel()
 
 
 def runs_for(recall: float, similarity: float, depth: int) -> int:
@@ -115,18 +215,11 @@ def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, id_col: s
     id_type = source.schema["id"].dataType.simpleString()
 
     def sketched(batches):
-        shingle = Shingler(n)
-        for batch in batches:
-            keys, sizes, sketches = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                tokens = shingle(text)
-                keys.append(_key(tokens, text))
-                sizes.append(len(tokens))
-                sketches.append(_sketch(tokens).tobytes() if len(tokens) else None)
+        for batch in slices(batches):
+            tokens, ends = shingles(batch.column(1), n)
+            keys = _keys(batch.column(1), tokens, ends)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
-                ["id", "k1", "k2", "n", "sketch"],
+                [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(ends), pa.int64()), pa.array(_sketches(tokens, ends), pa.binary())], ["id", "k1", "k2", "n", "sketch"]
             )
 
     rows = stable(source.mapInArrow(sketched, f"id {id_type}, k1 long, k2 long, n long, sketch binary"))
@@ -143,34 +236,34 @@ def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, id_col: s
 
 
 def _nodes(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
-    """(path, s, size) of the nodes to compare: each has two sets or more, and no two have the same sets."""
+    """(path, s, blocks) of the nodes to compare: each has two sets or more, and no two have the same sets."""
     roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * _M2)
-    depth_paths = "path long, s long"
+    depth_paths = "path long, s long, n long"
 
     def from_roots(batches):
         for batch in batches:
-            sketches = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, T).astype(np.uint64)
-            s = batch.column(0).to_numpy()
+            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, T).astype(np.uint64)
+            s, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for root in roots:
                 row, path = _children(np.full(len(s), root), sketches, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(s[row])], ["path", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(s[row]), pa.array(n[row])], ["path", "s", "n"])
 
     def from_paths(batches):
         for batch in batches:
-            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, T).astype(np.uint64)
+            sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, T).astype(np.uint64)
             row, path = _children(batch.column(0).to_numpy().view(np.uint64), sketches, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], ["path", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[row]) for c in (1, 2))], ["path", "s", "n"])
 
-    tokens = sets.where("sketch is not null").select("s", "sketch")
+    tokens = sets.where("sketch is not null").select("s", "n", "sketch")
     level = tokens.mapInArrow(from_roots, depth_paths)
     ends: DataFrame | None = None
     for depth in range(1, DEPTH + 1):
         level = stable(level)
-        sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(7))).alias("y")).where("size > 1")
+        sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(7))).alias("y")).where("size > 1")
         last = depth == DEPTH
         # Nodes of the same sets are one.
-        ended = (sizes if last else sizes.where(F.col("size") <= SMALL)).groupBy("size", "x", "y").agg(F.min("path").alias("path"))
-        found = level.join(ended.select("path", "size", "x", "y"), "path")
+        ended = (sizes if last else sizes.where(F.col("size") <= SMALL)).groupBy("size", "weight", "x", "y").agg(F.min("path").alias("path"))
+        found = level.join(ended, "path")
         ends = found if ends is None else ends.unionByName(found)
         if last:
             break
@@ -178,19 +271,18 @@ def _nodes(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
         split = level.join(large, "path")
         if split.isEmpty():
             break
-        level = split.join(tokens, "s").select("path", "s", "sketch").mapInArrow(from_paths, depth_paths)
+        level = split.join(tokens.select("s", "sketch"), "s").select("path", "s", "n", "sketch").mapInArrow(from_paths, depth_paths)
     ends = stable(ends)
     first = ends.groupBy("size", "x", "y").agg(F.min("path").alias("path")).select("path")
-    return ends.join(first, "path", "left_semi").select("path", "s", "size")
+    return ends.join(first, "path", "left_semi").select("path", "s", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int").alias("blocks"))
 
 
 def _compared(source: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, similarity: float) -> DataFrame:
     """(s, other, links): a set's rows linked in a node, and the least set that it is linked to there or s itself."""
     nodes = stable(nodes)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     places = F.expr("transform(nodes, p -> struct(p.path as path, p.blocks as blocks, cast(pmod(xxhash64(p.path, s), p.blocks) as int) as block))")
     members = (
-        nodes.groupBy("s").agg(F.collect_set(F.struct("path", blocks.alias("blocks"))).alias("nodes"))
+        nodes.groupBy("s").agg(F.collect_set(F.struct("path", "blocks")).alias("nodes"))
         .withColumn("places", places)
         .join(sets.drop("sketch", "least"), "s")
         .select("s", "k1", "k2", "copies", F.expr("transform(places, p -> p.path)").alias("paths"), F.expr("flatten(transform(places, p -> transform(sequence(0, p.blocks - 1), o -> struct(p.path as path, least(o, p.block) as a, greatest(o, p.block) as b, p.block as block))))").alias("groups"))
@@ -200,21 +292,13 @@ def _compared(source: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, simi
 
     def tokens(batches):
         """The sets that may be members: the map has a fixed size, the join by key is exact."""
-        shingle, data = Shingler(n), chosen.value
-        for batch in batches:
-            keys, out = [], []
-            for text in batch.column(0):
-                text = text.as_py()
-                found = shingle(text) if data else ()
-                if len(found):
-                    key = _key(found, text)
-                    bit = key[0] % MAP_BITS
-                    if data[bit >> 3] >> (bit & 7) & 1:
-                        keys.append(key)
-                        # Halves of the hashes, each 4 bytes: n-grams that two texts don't share are taken for one another with
-                        # a chance of their counts' product by 2^32, under 1e-5 for texts of 1,000 words at the similarity.
-                        out.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, pa.binary())], ["k1", "k2", "tokens"])
+        data = np.frombuffer(chosen.value, np.uint8)
+        for batch in slices(batches):
+            found, ends = shingles(batch.column(0), n)
+            keys = _keys(batch.column(0), found, ends)
+            bit = keys[:, 0] % MAP_BITS
+            some = np.flatnonzero((data[bit >> 3] >> (bit & 7) & 1 > 0) & (np.diff(ends) > 0)) if len(data) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some, 0]), pa.array(keys[some, 1]), pa.array([_packed(found[ends[i] : ends[i + 1]]) for i in some], pa.binary())], ["k1", "k2", "tokens"])
 
     texts = source.select("text").mapInArrow(tokens, "k1 long, k2 long, tokens binary").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
     dealt = members.join(texts, ["k1", "k2"]).select("s", "copies", "paths", "tokens", F.explode("groups").alias("g")).select("g.*", "s", "copies", "paths", "tokens")
@@ -233,6 +317,34 @@ def _compared(source: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, simi
     return dealt.mapInArrow(compared, "s long, other long, links long")
 
 
+def _shared(sets: list[np.ndarray], sizes: np.ndarray, todo: np.ndarray, columns: int = 1 << 16) -> np.ndarray:
+    """m rows by m columns: how many tokens two sets share, where this is to do. Tokens are counted some columns at a time, as bits,
+    so that memory is bounded whatever the sets' sizes."""
+    m = len(sets)
+    out = np.zeros((m, m), np.uint32)
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = counts[where] > 1
+    column = (np.cumsum(counts > 1) - 1)[where[held]]
+    owner = np.repeat(np.arange(m), sizes)[held]
+    del values, where, counts, held
+    order = np.argsort(column // columns, kind="stable")
+    owner, column = owner[order], column[order]
+    ends = np.searchsorted(column // columns, np.arange(1, (int(column[-1]) // columns if len(column) else -1) + 2))
+    busy = np.flatnonzero(todo.any(axis=1))
+    start = 0
+    for k, end in enumerate(ends.tolist()):
+        some = column[start:end] - k * columns
+        width = (int(some.max()) // 64 + 1) * 64
+        bits = np.zeros((m, width), bool)
+        bits[owner[start:end], some] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        for i in busy:
+            js = np.flatnonzero(todo[i])
+            out[i, js] += np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.uint32)
+        start = end
+    return out
+
+
 def _compare(key, group: list[tuple], similarity: float) -> Iterator[pa.RecordBatch]:
     """group: rows of block, s, copies, paths and tokens of a node's two blocks (or one block)."""
     if len(group) < 2:
@@ -240,7 +352,7 @@ def _compare(key, group: list[tuple], similarity: float) -> Iterator[pa.RecordBa
     path, a, b = key
     m = len(group)
     block, s, copies = (np.array([r[i] for r in group], np.int64) for i in range(3))
-    sets = [np.frombuffer(r[4], np.uint32) for r in group]
+    sets = [_unpacked(r[4]) for r in group]
     sizes = np.array([len(x) for x in sets])
     # Pairs that meet in a node before this one are compared there.
     seen = np.zeros((m, m), bool)
@@ -259,15 +371,7 @@ def _compare(key, group: list[tuple], similarity: float) -> Iterator[pa.RecordBa
     todo = ~(seen | short)
     if not todo.any():
         return
-    _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    column = np.cumsum(shared) - 1
-    width = (int(shared.sum()) + 63) // 64
-    bits = np.zeros((m, max(1, width) * 64), np.uint8)
-    owner = np.repeat(np.arange(m), sizes)
-    held = shared[where]
-    bits[owner[held], column[where[held]]] = 1
-    bits = np.packbits(bits, axis=1).view(np.uint64)
+    shared = _shared(sets, sizes, todo)
     linked, parent = np.zeros(m, np.int64), np.arange(m)
 
     def root(i: int) -> int:
@@ -278,7 +382,7 @@ def _compare(key, group: list[tuple], similarity: float) -> Iterator[pa.RecordBa
 
     for i in np.flatnonzero(todo.any(axis=1)):
         js = np.flatnonzero(todo[i])
-        both = np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64)
+        both = shared[i, js].astype(np.int64)
         near = js[both >= similarity * (sizes[i] + sizes[js] - both) - 1e-9]
         linked[i] += copies[near].sum()
         linked[near] += copies[i]
@@ -311,7 +415,7 @@ def keep_one(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, id_col
     """One row of each class, with all its columns: that of the least id (null last), then of the least hash of the text. Of
     rows equal in both, one stays."""
     name = private(docs, "name")
-    key = F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 20, "0"), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text"))
     named = docs.withColumn(name, key)
     classes = links(named.select(F.col(name).alias("name"), F.col(text_col).alias("text")), n, similarity, "name", "text", recall)
     kept = classes.where("name = class_id").select(F.col("name").alias(name)).distinct()
