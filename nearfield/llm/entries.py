@@ -68,7 +68,10 @@ def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.analyse(documents(spark, sf_dir))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("base", "terms").alias("spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("base", "secrets", "terms").alias("spans"),
+        (F.size("base") + F.size("secrets")).cast("long").alias("n_entities"), F.size("terms").cast("long").alias("n_terms"),
+    )
 
 
 def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

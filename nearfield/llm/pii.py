@@ -1,6 +1,6 @@
 """Personal data, and the terms that give it away.
 
-Patterns find the protected entities. The corpus then says which terms reveal them: of the texts with a term,
+Patterns find the protected entities, and values that are assigned to a name and hold much information are secrets. The corpus then says which terms reveal them: of the texts with a term,
 how many have the entity near it, against the entity's share of all texts. Terms past both disclosure
 thresholds are found wherever they stand. Candidate terms come from the entities' surroundings; a bit map of
 fixed size lets a second scan count the texts that have them and a third one find those past the thresholds, and joins
@@ -9,6 +9,7 @@ by term settle which are real, so that nothing that grows with the corpus is sen
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from bisect import bisect_left, bisect_right
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import MAP_BITS, bit_map, private, slices, stable
 
-KINDS = ["email", "ip", "card", "phone", "term"]
+KINDS = ["email", "ip", "card", "phone", "secret", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
 NEAR, LETTERS = 8, 4
 #: Disclosure thresholds: share of a term's texts that have the entity, and bits of evidence that this is no chance.
 SHARE, BITS = 0.5, 6.0
+#: Bits that an assigned value holds at least to be a secret: its length times the entropy of its characters.
+SECRET_BITS = 64.0
 #: Of a pair in fewer distinct texts than FEW, the share is smoothed: PRIOR of a text with the term but not the entity is added.
 FEW, PRIOR = 5, 0.5
 
@@ -35,6 +38,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _digit = re.compile(r"[0-9]").search
+_assigned = re.compile(r"[=:]\s{0,8}[\"']?([A-Za-z0-9+/_-]{16,}+)").finditer
 _word = re.compile(r"[^\W\d_]+").finditer
 _words = re.compile(r"[^\W\d_]+").findall
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,6 +81,18 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=_order)
 
 
+def secrets(text: str | None) -> list[tuple[str, int, int]]:
+    """Values after = or : that are too random to be words: letters and digits whose own information reaches SECRET_BITS."""
+    if not text or ("=" not in text and ":" not in text):
+        return []
+    return [("secret", m.start(1), m.end(1)) for m in _assigned(text) if _digit(m[1]) and not m[1].isdigit() and _bits(m[1]) >= SECRET_BITS]
+
+
+def _bits(value: str) -> float:
+    n = len(value)
+    return sum(c * math.log2(n / c) for c in Counter(value).values())
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or 0) <= 255
@@ -191,37 +207,39 @@ def _counts(counts: Counter) -> pa.RecordBatch:
 
 
 def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, terms) for each row: the spans of the base kinds and of the revealing terms, each an array of
-    (kind, start, end) in order. A null text is empty and has none. A base span hides the terms that it overlaps."""
+    """(id, base, terms, secrets) for each row: the spans of the base kinds, of the revealing terms and of secrets, each an array of
+    (kind, start, end) in order. A null or empty text has none; rows with equal or null ids stay rows of their own; a text is read whole
+    however long. A base span hides the terms that it overlaps."""
     terms = stable(revealing(docs, text_col).select("term").distinct())
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(terms.select(F.xxhash64("term").alias("h"))))
 
     def scanned(batches):
         known = _Known(sent.value)
         for batch in batches:
-            base, some = [], []
+            base, some, hidden = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 spans = find(text)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
+                hidden.append([dict(zip(("kind", "start", "end"), s)) for s in secrets(text)])
                 found = []
                 if sent.value and any(map(known.__getitem__, _vocabulary(text))):
                     found = [{"term": t, "start": a, "end": b} for t, a, b in _terms(text) if known[t] and not any(a < y and x < b for _, x, y in spans)]
                 some.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(some, term)], ["id", "base", "some"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(some, term), pa.array(hidden, span)], ["id", "base", "some", "secrets"])
 
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     term = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     kind, spans = docs.schema[id_col].dataType.simpleString(), "array<struct<kind: string, start: int, end: int>>"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(scanned, f"id {kind}, base {spans}, some array<struct<term: string, start: int, end: int>>")
+    rows = source.mapInArrow(scanned, f"id {kind}, base {spans}, some array<struct<term: string, start: int, end: int>>, secrets {spans}")
     none = F.expr(f"cast(array() as {spans})")
     if not sent.value:
-        return rows.select(F.col("id").alias(id_col), "base", none.alias("terms"))
+        return rows.select(F.col("id").alias(id_col), "base", none.alias("terms"), "secrets")
     rows = stable(rows.withColumn("row", F.monotonically_increasing_id()))
     each = rows.select("row", F.explode("some").alias("s")).select("row", "s.*")
     real = each.join(terms, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    return rows.drop("some").join(real, "row", "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
+    return rows.drop("some").join(real, "row", "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"), "secrets")
 
 
 def spans_text(*spans: str) -> Column:
@@ -232,8 +250,9 @@ def spans_text(*spans: str) -> Column:
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose texts have [EMAIL], [IP], [CARD], [PHONE] or [TERM] for each
-    span; overlapping spans become one, named by the first. A null text stays null."""
+    """The rows, with all their columns, whose texts have [EMAIL], [IP], [CARD], [PHONE], [SECRET] or [TERM] for each
+    span; overlapping spans become one, named by the first. A null text stays null and an empty one empty; no row goes or is added,
+    repeated ones included; a text is read whole however long."""
     key, names = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), docs.columns
     name, extra = private(docs, "key"), private(docs, "terms")
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
@@ -245,7 +264,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in slices(batches):
             out = []
             for text, more in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                spans = sorted([*find(text), *((m["kind"], m["start"], m["end"]) for m in more or [])], key=_order)
+                spans = sorted([*find(text), *secrets(text), *((m["kind"], m["start"], m["end"]) for m in more or [])], key=_order)
                 out.append(_replace(text, spans) if spans else text)
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(out, pa.string())

@@ -1,8 +1,10 @@
 """Plain Python versions of the contracts, row by row and pair by pair."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,6 +93,59 @@ def pii(text):
     return sorted(out, key=lambda s: (s[1], ["email", "ip", "card", "phone"].index(s[0])))
 
 
+def revealing(texts):
+    """(entity's text, term) of the pairs past the thresholds, counted one by one."""
+    places = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if len(m[0]) >= 4]
+    both, distinct, with_entity, with_term = Counter(), Counter(), Counter(), Counter()
+    seen = set()
+    for t in texts:
+        every = places(t)
+        with_term.update({w for w, _, _ in every})
+        near = set()
+        for kind, a, b in pii(t):
+            beside = [p for p in every if p[2] <= a][-8 :] + [p for p in every if p[1] >= b][: 8]
+            near |= {(t[a:b].lower() if kind == "email" else t[a:b], w) for w, _, _ in beside}
+        both.update(near)
+        distinct.update(near if t not in seen else ())
+        seen.add(t)
+        with_entity.update({e for e, _ in near})
+    out = set()
+    for (e, w), n in both.items():
+        m, p = max(with_term[w], n), with_entity[e] / len(texts)
+        share = n / (m + (0.5 if distinct[e, w] < 5 else 0))
+        if with_term[w] and share >= 0.5 and n / m > p:
+            evidence = n * math.log2(n / m / p) + ((m - n) * math.log2((m - n) / m / (1 - p)) if m > n else 0)
+            if evidence >= min(6.0, with_entity[e] * math.log2(1 / p)) - 1e-9:
+                out.add((e, w))
+    return out
+
+
+def secrets(text):
+    """Assigned values of letters and digits with 64 bits or more."""
+    out = []
+    for m in re.finditer(r"[=:]\s{0,8}[\"']?([A-Za-z0-9+/_-]{16,})", text or ""):
+        v = m[1]
+        if re.search("[0-9]", v) and re.search("[^0-9]", v) and sum(math.log2(len(v) / v.count(c)) for c in v) >= 64:
+            out.append(("secret", m.start(1), m.end(1)))
+    return out
+
+
+def sanitised(texts):
+    """The texts with placeholders for personal data, secrets and revealing terms."""
+    terms, kinds, out = {w for _, w in revealing(texts)}, ["email", "ip", "card", "phone", "secret", "term"], []
+    for t in texts:
+        base = pii(t)
+        words = [("term", m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in terms]
+        spans = base + secrets(t) + [w for w in words if not any(w[1] < b and a < w[2] for _, a, b in base)]
+        new, at = "", 0
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2])):
+            if a >= at:
+                new += t[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        out.append(new + t[at:])
+    return out
+
+
 def edited(docs):
     import xxhash
 

@@ -1,10 +1,8 @@
 """Language, toxicity, personal data and edit fingerprints: held-out accuracy, plain versions and odd rows."""
 
-import math
 import os
 import re
 import sys
-from collections import Counter
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
@@ -89,6 +87,8 @@ def test_personal_data(spark, odd):
     tricky = ["a@b@c.d", "x.y@z.w.@q.r", "@a.b", "a@b", "a@-.-", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255", "4111 1111 1111 1111-4111111111111111", "+1 (017) 555-7713 +1-+12345678901 +1 2 3", "4111-1111--1111 1111", "é@x.y ÿ1.2.3.4", "9" * 3000 + "@" * 3000 + "a.b@c.d" * 300]
     for t in tricky:
         assert pii.find(t) == brute.pii(t), t
+    assert pii.secrets('a = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b: aaaaaaaa1aaaaaaaaaaaa = 12345678901234567890 = wordswordswordswordswords = A1') == [("secret", 5, 45)]
+    assert pii.secrets(None) == pii.secrets("") == []
     assert pii.analyse(odd).count() == len(ODD)
     assert pii.analyse(odd.limit(0)).count() == 0
     out = pii.sanitise(odd)
@@ -151,38 +151,11 @@ def test_edit_fingerprint(spark, odd):
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2)}
 
 
-def plain_revealing(texts):
-    """(entity's text, term) of the pairs past the thresholds, counted one by one."""
-    places = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if len(m[0]) >= pii.LETTERS]
-    both, distinct, with_entity, with_term = Counter(), Counter(), Counter(), Counter()
-    seen = set()
-    for t in texts:
-        every = places(t)
-        with_term.update({w for w, _, _ in every})
-        near = set()
-        for kind, a, b in brute.pii(t):
-            beside = [p for p in every if p[2] <= a][-pii.NEAR :] + [p for p in every if p[1] >= b][: pii.NEAR]
-            near |= {(t[a:b].lower() if kind == "email" else t[a:b], w) for w, _, _ in beside}
-        both.update(near)
-        distinct.update(near if t not in seen else ())
-        seen.add(t)
-        with_entity.update({e for e, _ in near})
-    out = set()
-    for (e, w), n in both.items():
-        m, p = max(with_term[w], n), with_entity[e] / len(texts)
-        share = n / (m + (0.5 if distinct[e, w] < 5 else 0))
-        if with_term[w] and share >= pii.SHARE and n / m > p:
-            evidence = n * math.log2(n / m / p) + ((m - n) * math.log2((m - n) / m / (1 - p)) if m > n else 0)
-            if evidence >= min(pii.BITS, with_entity[e] * math.log2(1 / p)) - 1e-9:
-                out.add((e, w))
-    return out
-
-
 def test_revealing_terms_of_rare_entities(spark):
     """A real table, whose entities are in one or two texts each, against the plain count."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = [r.text or "" for r in docs.select("text").collect()]
-    expected = plain_revealing(texts)
+    expected = brute.revealing(texts)
     assert len(expected) > 100
     assert sorted(r.term for r in pii.revealing(docs).collect()) == sorted(w for _, w in expected)
     terms = {w for _, w in expected}
