@@ -14,6 +14,13 @@ WORDS = {"and", "or", "not", "in", "between", "like", "is", "null", "true", "fal
 FUNCTIONS = {"array_contains"}
 
 
+def _literal(token: str) -> str:
+    """A string token as SQL that can mean nothing but its characters, which are given as bytes in hex; a backslash takes the next
+    character as it is."""
+    plain = re.sub(r"\\(.)", r"\1", token[1:-1], flags=re.DOTALL)
+    return f"cast(X'{plain.encode().hex()}' as string)"
+
+
 def parse(predicate: str, columns: list[str]) -> Column:
     """Columns, literals, comparisons, AND, OR, NOT, IN, BETWEEN, LIKE, IS NULL and array_contains; nothing else."""
     known, at, out = {c.lower(): c for c in columns}, 0, []
@@ -28,7 +35,7 @@ def parse(predicate: str, columns: list[str]) -> Column:
             raise error("Predicate Error", f"a number is expected after - at {at}")
         word = m["word"]
         if word is None:
-            out.append("'" + m["string"][1:-1].replace("'", "\\'").replace("\\\\'", "\\'") + "'" if m["string"] else m[m.lastgroup])
+            out.append(_literal(m["string"]) if m["string"] else m[m.lastgroup])
         elif word.lower() in WORDS:
             out.append(word)
         elif word.lower() in FUNCTIONS and text[m.end() :].lstrip().startswith("("):

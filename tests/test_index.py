@@ -125,6 +125,18 @@ def test_bad_predicates(bad):
         parse(bad, ["country"])
 
 
+@pytest.mark.parametrize("value", ["\\' or version() is not null --", "it's", 'a"b', "\\", "\\\\", "'", "\\'", "x' or 1 = 1 --", "", "\n", "%", "é\U0001f600"])
+def test_strings_mean_their_characters(spark, value):
+    """Backslashes and quotes in any place: the predicate finds the row with just that value, in either kind of quotes."""
+    rows = spark.createDataFrame([(1, value), (2, "other"), (3, "\\' or version() is not null --x")], "id long, lang string")
+    for quote in "'\"":
+        token = quote + value.replace("\\", "\\\\").replace(quote, "\\" + quote) + quote
+        assert [r.id for r in rows.where(parse(f"lang == {token}", rows.columns)).collect()] == [1]
+    assert rows.where(parse("lang LIKE 'oth%'", rows.columns)).count() == 1
+    # What once passed for a condition of its own is a value that no row has.
+    assert rows.where(parse('lang == "\\\\\' or version() is not null -- "', rows.columns)).count() == 0
+
+
 def test_changes(spark):
     index = VectorIndex(spark, 3, "cosine").add(SIX, IDS)
     assert index.remove([11, 14, 99]) == 2 and (len(index), index.capacity, index.deleted_count, index.version) == (4, 6, 2, 2)
