@@ -83,7 +83,7 @@ def test_personal_data(spark, odd):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert r.base_sha256 == brute.sha(joined)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
-        assert set(joined.split(",")) <= set(r.spans.split(","))
+        assert not joined or set(joined.split(",")) <= set(r.spans.split(","))
     tricky = ["a@b@c.d", "x.y@z.w.@q.r", "@a.b", "a@b", "a@-.-", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255", "4111 1111 1111 1111-4111111111111111", "+1 (017) 555-7713 +1-+12345678901 +1 2 3", "4111-1111--1111 1111", "é@x.y ÿ1.2.3.4", "9" * 3000 + "@" * 3000 + "a.b@c.d" * 300]
     for t in tricky:
         assert pii.find(t) == brute.pii(t), t
