@@ -107,14 +107,14 @@ def distance(m: str | Metric, v: Column, q: Column) -> Column:
 
 
 def block_distance(m: Metric, rows: np.ndarray, q: np.ndarray, custom=None) -> np.ndarray:
-    """The distances of a block's rows (doubles) from one query."""
+    """The distances of a block's rows (doubles) from one query, or of each row from its own."""
     if m.is_custom:
         return np.array([custom(r.tolist(), q.tolist()) for r in rows], np.float64)
     with np.errstate(all="ignore"):
         if m.name in ("cosine", "angular"):
-            a, b = (rows * rows).sum(axis=1), float(q @ q)
+            a, b = (rows * rows).sum(axis=1), (q * q).sum(axis=-1)
             zero = (a == 0) | (b == 0)
-            cos = rows @ q / np.sqrt(a * b)
+            cos = (rows * q).sum(axis=1) / np.sqrt(a * b)
             if m.name == "cosine":
                 return np.where(zero, 1.0, np.maximum(0.0, 1 - cos))
             return np.where(zero, math.pi / 2, np.arccos(np.clip(cos, -1, 1)))
@@ -168,7 +168,13 @@ def register_sql(spark: SparkSession) -> None:
         "hamming": f"aggregate(zip_with(v, q, (x, y) -> if(abs(x - y) > {HAMMING_TOLERANCE}, 1D, 0D)), 0D, (s, x) -> s + x)",
         "canberra": "aggregate(zip_with(v, q, (x, y) -> if(abs(x) + abs(y) > 0, abs(x - y) / (abs(x) + abs(y)), 0D)), 0D, (s, x) -> s + x)",
     }
+    each["jaccard"] = (
+        f"if(exists(zip_with(v, q, (x, y) -> x > {JACCARD_THRESHOLD} or y > {JACCARD_THRESHOLD}), b -> b), "
+        f"1D - aggregate(zip_with(v, q, (x, y) -> if(x > {JACCARD_THRESHOLD} and y > {JACCARD_THRESHOLD}, 1D, 0D)), 0D, (s, x) -> s + x)"
+        f" / aggregate(zip_with(v, q, (x, y) -> if(x > {JACCARD_THRESHOLD} or y > {JACCARD_THRESHOLD}, 1D, 0D)), 0D, (s, x) -> s + x), 0D)"
+    )
     for name, body in each.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vector_{name}(v ARRAY<DOUBLE>, q ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_minkowski(v ARRAY<DOUBLE>, q ARRAY<DOUBLE>, p DOUBLE) RETURNS DOUBLE RETURN power(aggregate(zip_with(v, q, (x, y) -> power(abs(x - y), p)), 0D, (s, x) -> s + x), 1 / p)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_cosine(v ARRAY<DOUBLE>, q ARRAY<DOUBLE>) RETURNS DOUBLE RETURN if(vector_dot(v, v) = 0 or vector_dot(q, q) = 0, 1D, greatest(0D, 1 - vector_dot(v, q) / sqrt(vector_dot(v, v) * vector_dot(q, q))))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_angular(v ARRAY<DOUBLE>, q ARRAY<DOUBLE>) RETURNS DOUBLE RETURN if(vector_dot(v, v) = 0 or vector_dot(q, q) = 0, pi() / 2, acos(greatest(-1D, least(1D, vector_dot(v, q) / sqrt(vector_dot(v, v) * vector_dot(q, q))))))")

@@ -71,22 +71,50 @@ def nearest_cells(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray
     size = (centroids * centroids).sum(axis=1)
     for start in range(0, len(rows), 4096):
         some = rows[start : start + 4096]
-        out[start : start + 4096] = np.argsort(size[None, :] - 2 * np.nan_to_num(some) @ centroids.T, axis=1, kind="stable")[:, :n]
+        far = size[None, :] - 2 * np.nan_to_num(some) @ centroids.T
+        out[start : start + 4096] = far.argmin(axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
     return out
 
 
+def directed(rows: np.ndarray, m: Metric) -> np.ndarray:
+    """What cells are told by: the vectors, or their directions under metrics that look at angles only."""
+    if m.name not in ("cosine", "angular"):
+        return rows
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(size > 0, size, 1)
+
+
 class CellIndex:
-    """Rows of (id, vector) in cells; add before build or after it."""
+    """Rows of (id, vector) in cells; add before build or after it. Adding writes the new rows only, removing only ids."""
 
     def __init__(self, spark: SparkSession, dim: int, of: str | Metric = "euclidean", config: Config = Config(), p: float | None = None) -> None:  # noqa: B008  frozen
         if not 0 < dim <= 4096:
             raise error("Dimension Error", f"the dimension must be from 1 to 4096, not {dim}")
         self.spark, self.dim, self.metric, self.config = spark, dim, metric(of, p), config
-        self._rows: DataFrame | None = None
+        self._segments: tuple[DataFrame, ...] = ()
+        self._removed: tuple[DataFrame, ...] = ()  # (id, segment) of rows that are no longer valid
         self._centroids: np.ndarray | None = None
-        self._n = 0
+        self._n = self._deleted = self._next = 0
         self._enough: dict[int, int] = {}
 
+    def rows(self) -> DataFrame:
+        """(id, vector) of the valid rows."""
+        return self.spark.createDataFrame([], "id long, vector array<float>") if self._rows is None else self._rows.select("id", "vector")
+
+    @property
+    def _rows(self) -> DataFrame | None:
+        """The valid rows of all segments."""
+        if not self._segments:
+            return None
+        every = functools.reduce(DataFrame.unionByName, self._segments)
+        return every.join(functools.reduce(DataFrame.unionByName, self._removed), ["id", "segment"], "left_anti") if self._removed else every
+
+    def _append(self, frame: DataFrame) -> None:
+        frame = frame.withColumn("cell", F.lit(-1)) if self._centroids is None else self._celled(frame)
+        self._segments += (stable(frame.select("id", "vector", "cell", F.lit(self._next).alias("segment"))),)
+        self._next += 1
+        self._enough = {}
+
     def add(self, data, ids: Sequence[int] | None = None) -> CellIndex:
         """A matrix of single-precision numbers with ids, or a table of (id, vector). Negative, double or null ids, wrong lengths and
         too many rows are errors."""
@@ -104,18 +132,51 @@ class CellIndex:
             raise error("Negative ID", "ids must be 0 or more")
         if self._n + f.n > self.config.max_elements:
             raise error("Row Limit", f"more than {self.config.max_elements} rows")
-        every = frame if self._rows is None else self._rows.select("id", "vector").unionByName(frame)
-        if not every.groupBy("id").count().where("count > 1").isEmpty():
+        if not frame.groupBy("id").count().where("count > 1").isEmpty() or (self._n and not self._rows.join(frame.select("id"), "id", "left_semi").isEmpty()):
             raise error("Duplicate IDs", "an id is there already or comes twice")
-        self._n += f.n
-        self._enough = {}
-        new = frame if self._centroids is None else self._celled(frame)
-        self._rows = stable(new if self._rows is None else self._rows.unionByName(new))
+        if f.n:
+            self._append(frame)
+            self._n += f.n
         return self
 
+    def remove(self, ids: Sequence[int] | DataFrame) -> int:
+        """Removes rows by id and says how many there were; unknown ids are let pass."""
+        if not self._n:
+            return 0
+        asked = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct() if isinstance(ids, DataFrame) else self.spark.createDataFrame([(int(i),) for i in set(ids)], "id long")
+        gone = stable(self._rows.join(asked, "id", "left_semi").select("id", "segment"))
+        n = gone.count()
+        if n:
+            self._removed += (gone,)
+            self._n, self._deleted, self._enough = self._n - n, self._deleted + n, {}
+        return n
+
+    def update(self, id: int, vector) -> None:
+        """Replaces a row's vector. An unknown id is an error."""
+        matrix = np.asarray([vector], np.float32)
+        if matrix.shape != (1, self.dim):
+            raise error("Dimension Error", f"vectors must have {self.dim} numbers")
+        if not self.remove([id]):
+            raise error("Unknown ID", str(id))
+        self.add(matrix, [id])
+
+    def compact(self) -> None:
+        """Rewrites the valid rows as one segment; centroids stay."""
+        rows, self._segments, self._removed, self._deleted = self._rows, (), (), 0
+        if self._n:
+            self._segments = (stable(rows.withColumn("segment", F.lit(self._next))),)
+            self._next += 1
+
+    deleted_count = property(lambda self: self._deleted)
+
+    def should_compact(self, ratio: float = 0.2) -> bool:
+        return bool(self._n + self._deleted) and self._deleted / (self._n + self._deleted) > ratio
+
     def add_item(self, vector) -> int:
-        self.add([vector], [self._n])
-        return self._n - 1
+        """Appends one vector; its id is the number of rows added so far."""
+        i = self._n + self._deleted
+        self.add([vector], [i])
+        return i
 
     insert = lambda self, vector, id: self.add([vector], [id])
 
@@ -125,9 +186,9 @@ class CellIndex:
             raise error("EmptyIndex", "the index has no rows")
         share = min(1.0, SAMPLE_ROWS / self._n)
         sample = self._rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).orderBy("id").select("vector").collect()  # about SAMPLE_ROWS
-        self._centroids = learn(np.nan_to_num(np.array([r.vector for r in sample], np.float64)), self.config.cells(self._n), self.config.ef_construction)
-        self._rows = stable(self._celled(self._rows.select("id", "vector")))
-        self._enough = {}
+        self._centroids = learn(directed(np.nan_to_num(np.array([r.vector for r in sample], np.float64)), self.metric), self.config.cells(self._n), self.config.ef_construction)
+        rows, self._segments, self._removed, self._deleted = self._rows, (), (), 0
+        self._append(rows.select("id", "vector"))
         return self
 
     def probes(self, k: int = 10) -> int:
@@ -143,7 +204,7 @@ class CellIndex:
             truth = nearest_batch(self._rows.select("id", "vector"), queries, k + 1, self.metric).where("id <> q_id")
             truth = truth.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("rank") <= k)
             found = self._rows.select("id", "cell").join(F.broadcast(truth.select("q_id", "id")), "id").select("q_id", "cell").collect()
-            order = nearest_cells(np.array([r.q for r in trials], np.float64), self._centroids, cells)
+            order = nearest_cells(directed(np.array([r.q for r in trials], np.float64), self.metric), self._centroids, cells)
             place, at = np.argsort(order, axis=1), {r.q_id: i for i, r in enumerate(trials)}
             query = np.array([at[r.q_id] for r in found], np.int64)
             # hits[i, p]: neighbours of the i-th trial in its p + 1 nearest cells.
@@ -155,11 +216,11 @@ class CellIndex:
         return max(least, self._enough[k])
 
     def _celled(self, frame: DataFrame) -> DataFrame:
-        sent = self.spark.sparkContext.broadcast(self._centroids)
+        sent, of = self.spark.sparkContext.broadcast(self._centroids), self.metric
 
         def put(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_cells(vectors(batch.column(1)), sent.value, 1)[:, 0].astype(np.int32))], ["id", "vector", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_cells(directed(vectors(batch.column(1)), of), sent.value, 1)[:, 0].astype(np.int32))], ["id", "vector", "cell"])
 
         return frame.select("id", "vector").mapInArrow(put, "id long, vector array<float>, cell int")
 
@@ -179,14 +240,14 @@ class CellIndex:
         probes = probes or self.probes(k)
         blocks = []
         for q_ids, matrix in query_blocks(queries):
-            probed = nearest_cells(matrix, self._centroids, probes)
+            probed = nearest_cells(directed(matrix, self.metric), self._centroids, probes)
             cells = np.unique(probed).tolist()
             rows = self._rows.select("id", "vector", "cell")
             if len(cells) < len(self._centroids):
                 rows = rows.where(F.col("cell").isin(cells))
             sent = self.spark.sparkContext.broadcast((q_ids, matrix, probed))
             blocks.append(ranked(rows.mapInArrow(functools.partial(_probe, sent, k, m, custom), "q_id long, id long, dist double"), k))
-        return functools.reduce(DataFrame.unionByName, blocks)
+        return functools.reduce(DataFrame.unionByName, blocks) if blocks else self.spark.createDataFrame([], "q_id long, rank int, id long, dist double")
 
     def search(self, q, k: int, probes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         found = self.search_batch([q], k, probes).orderBy("rank").collect()
@@ -212,20 +273,21 @@ class CellIndex:
         """Rows by cell, so that a later search reads the probed ones only."""
         if self._centroids is None:
             self.build()
-        storage.write(self._rows, {"dim": self.dim, "metric": self.metric.name, "p": self.metric.p, "config": asdict(self.config), "centroids": self._centroids.tolist(), "n": self._n, "probes": {str(k): n for k, n in self._enough.items()}}, checked(path, root), "cell")
+        storage.write(self._rows.drop("segment"), {"dim": self.dim, "metric": self.metric.name, "p": self.metric.p, "config": asdict(self.config), "centroids": self._centroids.tolist(), "n": self._n, "probes": {str(k): n for k, n in self._enough.items()}}, checked(path, root), "cell")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, root: str = "") -> CellIndex:
         rows, m = storage.read(spark, checked(path, root))
         out = cls(spark, m["dim"], Metric(m["metric"], m["p"]), Config(**m["config"]))
-        out._rows, out._centroids, out._n = rows.select("id", "vector", F.col("cell").cast("int").alias("cell")), np.array(m["centroids"]), m["n"]
+        out._segments, out._next = (rows.select("id", "vector", F.col("cell").cast("int").alias("cell"), F.lit(0).alias("segment")),), 1
+        out._centroids, out._n = np.array(m["centroids"]), m["n"]
         out._enough = {int(k): n for k, n in m.get("probes", {}).items()}
         return out
 
 
 def _probe(sent, k: int, m: Metric, custom, batches):
     q_ids, matrix, probed = sent.value
-    best = Best(len(q_ids), k)
+    best = Best(q_ids, k)
     by_cell: dict[int, list[int]] = {}
     for i, cells in enumerate(probed):
         for c in cells.tolist():
@@ -234,9 +296,10 @@ def _probe(sent, k: int, m: Metric, custom, batches):
         ids, rows, cell = batch.column(0).to_numpy(), vectors(batch.column(1)), batch.column(2).to_numpy()
         for c in np.unique(cell).tolist():
             at = np.flatnonzero(cell == c)
+            some = rows[at]
             for i in by_cell.get(c, ()):
-                best.add(i, ids[at], block_distance(m, rows[at], matrix[i], custom))
-    yield best.batch(q_ids)
+                best.add(i, ids[at], block_distance(m, some, matrix[i], custom))
+    yield best.batch()
 
 
 class Index:

@@ -108,8 +108,7 @@ class VectorIndex:
                 raise error("Negative ID", "ids must be 0 or more")
             if self.max_rows is not None and (found.n > self.max_rows or found.n + len(self) > self.max_rows):
                 raise error("Row Limit", f"more than {self.max_rows} rows")
-            twice = rows.groupBy("id").count().where("count > 1")
-            if not twice.isEmpty() or (len(self) and not rows.join(self.rows().select("id"), "id", "left_semi").isEmpty()):
+            if not repeated_ids(rows).isEmpty() or (len(self) and not rows.join(self.rows().select("id"), "id", "left_semi").isEmpty()):
                 raise error("Duplicate IDs", "an id is there already or comes twice")
             placed = with_positions(rows, order, "pos", state.slots).drop("_order")
             segment = stable(placed.withColumn("sq_norm", squared_norm(F.col("vector"))).withColumn("version", F.lit(state.version + 1).cast("long")))
@@ -246,7 +245,13 @@ class VectorIndex:
             matrix = np.asarray(queries, np.float32)
             state = self._checked(matrix.shape[1] if matrix.ndim == 2 else -1)
             queries = self.spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(matrix)], "q_id long, q array<float>")
-        return search.nearest_batch(self._filtered(state, filter), queries, k, self.metric)
+        began = time.perf_counter()
+        out = search.nearest_batch(self._filtered(state, filter), queries, k, self.metric)
+        if self._collector:
+            # Monitored batches run here, so that their time is known, and count as one query each.
+            out = stable(out)
+            self._collector.record_query((time.perf_counter() - began) * 1e6)
+        return out
 
     def search_filtered(self, q, k: int, predicate: str) -> tuple[np.ndarray, np.ndarray]:
         return self.search(q, k, Filter.predicate(predicate))
@@ -273,7 +278,7 @@ class VectorIndex:
     def info(self) -> dict[str, str]:
         slots, n = self.capacity, len(self)
         memory = slots * 40 + 4 * self.dim * n + 4 * n  # an estimate: a slot, its vector and its norm
-        return {"type": "exact", "dim": str(self.dim), "metric": str(self.metric), "size": str(n), "capacity": str(slots), "deleted": str(self.deleted_count), "version": str(self.version), "memory_mb": f"{memory / 1e6:.2f}"}
+        return {"type": "exact", "dim": str(self.dim), "metric": str(self.metric), "size": str(n), "capacity": str(slots), "deleted": str(self.deleted_count), "version": str(self.version), "max_deleted_ratio": str(self.max_deleted_ratio), "memory_mb": f"{memory / 1e6:.2f}"}
 
     def validate(self) -> list[str]:
         """All that is wrong, as sentences; none if nothing is."""
@@ -316,10 +321,15 @@ class VectorIndex:
             self._collector.update_recall(k, recall)
 
 
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(id, n) of ids that come more than once; add() refuses tables that have any."""
+    return rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def validate(rows: DataFrame, dim: int) -> DataFrame:
     """(issue, n): duplicate ids, wrong dimensions and wrong norms, all of them, in one table."""
     off = F.abs(squared_norm(F.col("vector")) - F.col("sq_norm")) > NORM_TOLERANCE * F.greatest(F.lit(1.0), F.col("sq_norm"))
-    twice = rows.groupBy("id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate ids").alias("issue"), "n")
+    twice = repeated_ids(rows).agg(F.count("*").alias("n")).select(F.lit("duplicate ids").alias("issue"), "n")
     others = rows.agg(F.coalesce(F.sum((F.size("vector") != dim).cast("long")), F.lit(0)).alias("dims"), F.coalesce(F.sum(off.cast("long")), F.lit(0)).alias("norms"))
     return twice.unionByName(others.select(F.expr("stack(2, 'wrong dimensions', dims, 'wrong norms', norms) as (issue, n)")))
 

@@ -1,8 +1,9 @@
 """Exact nearest neighbours: one query, a batch, shards and all pairs.
 
-One query is a projection, a sort and a limit, which Spark runs as a top-k per partition and one merge. A batch
-goes over the table in Arrow blocks: each task keeps the k best rows of each query, so what is shuffled is k
-rows for each query and task, whatever the table's size. Queries go in blocks of bounded size.
+One query is a projection, a sort and a limit, which Spark runs as a top-k per partition and one merge. A batch of
+bounded size is sent to all tasks and goes over the table in Arrow blocks: each task keeps the k best rows of each query, so
+what is shuffled is k rows for each query and task, whatever the table's size. A larger batch meets the table in a grid of
+blocks of queries and chunks of rows, both of bounded size, and never passes the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.errors import error
 from nearfield.functions.distances import Metric, block_distance, distance, metric
 from nearfield.functions.registry import resolve
 
-#: Numbers in a block of queries (64 MB as doubles), which the driver sends to all tasks.
+#: Numbers in a block of queries or rows (64 MB as doubles): what is sent to all tasks at most, and what a cell of the grid holds of either.
 QUERY_BLOCK = 8_000_000
 
 
@@ -32,7 +34,9 @@ def nearest(corpus: DataFrame, q, k: int, m: str | Metric = "euclidean", order:
 
 
 def nearest_by_expression(corpus: DataFrame, queries: DataFrame, k: int, m: str | Metric = "euclidean") -> DataFrame:
-    """(q_id, rank, id, dist) within Catalyst: for few queries, whose table must be small, as it is sent to all tasks."""
+    """(q_id, rank, id, dist) within Catalyst, for few queries, as their table is sent to all tasks: more numbers than QUERY_BLOCK are an error."""
+    if batch_size(queries)[0] > QUERY_BLOCK:
+        raise error("Row Limit", "too many queries to send to all tasks; nearest_batch takes any number")
     pairs = corpus.select("id", "vector").join(F.broadcast(queries.select("q_id", "q")), F.lit(True)).select("q_id", "id", distance(m, F.col("vector"), F.col("q")).alias("dist"))
     return ranked(pairs, k)
 
@@ -50,92 +54,147 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, m: str | Metric
         m = Metric(name)
     else:
         custom = None
-    blocks = []
-    for ids, matrix in query_blocks(queries):
-        sent = corpus.sparkSession.sparkContext.broadcast((ids, matrix))  # bounded by QUERY_BLOCK
-        best = corpus.select("id", "vector").mapInArrow(functools.partial(_best, sent, k, m, custom), "q_id long, id long, dist double")
-        blocks.append(ranked(best, k))
-    if not blocks:
-        return corpus.sparkSession.createDataFrame([], "q_id long, rank int, id long, dist double")
-    return functools.reduce(DataFrame.unionByName, blocks)
+    numbers, dim = batch_size(queries)
+    rows, schema = corpus.select("id", "vector").where("vector is not null"), "q_id long, id long, dist double"
+    if numbers <= QUERY_BLOCK:
+        sent = corpus.sparkSession.sparkContext.broadcast(block_of(queries))
+        return ranked(rows.mapInArrow(functools.partial(_best, sent, k, m, custom), schema), k)
+    blocks, chunks = -(-numbers // QUERY_BLOCK), max(1, -(-rows.count() * dim // QUERY_BLOCK))
+    left = rows.select("id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.where("q is not null").select("q_id", "q", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")).alias("chunk"), F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
+        found = Best(asked.column("q_id").to_numpy(), k)
+        matrix = vectors(asked.column("q").combine_chunks())
+        for batch in some.to_batches():
+            found.look(m, custom, batch.column("id").to_numpy(), vectors(batch.column("vector"), matrix.shape[1]), matrix)
+        return pa.Table.from_batches([found.batch()])
+
+    return ranked(left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(cell, schema), k)
+
+
+def batch_size(queries: DataFrame) -> tuple[int, int]:
+    """Numbers in all queries, and in one. Queries of unlike lengths are an error."""
+    n = queries.agg(F.count("q").alias("n"), F.min(F.size("q")).alias("least"), F.max(F.size("q")).alias("most")).first()
+    if n.n and n.least != n.most:
+        raise error("Dimension Error", f"queries have from {n.least} to {n.most} numbers")
+    return n.n * (n.most or 0), n.most or 0
+
+
+def block_of(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the matrix of queries whose number of numbers has been checked."""
+    table = queries.select("q_id", "q").where("q is not null").toArrow()
+    if not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    return table.column("q_id").cast(pa.int64()).to_numpy(), vectors(table.column("q").combine_chunks())
 
 
 def query_blocks(queries: DataFrame):
-    """The queries in blocks of bounded size, one at a time."""
-    rows, numbers = [], 0
-    for r in queries.select("q_id", "q").toLocalIterator():
-        rows.append(r)
-        numbers += len(r.q)
-        if numbers >= QUERY_BLOCK:
-            yield np.array([r.q_id for r in rows]), np.array([r.q for r in rows], np.float64)
-            rows, numbers = [], 0
-    if rows:
-        yield np.array([r.q_id for r in rows]), np.array([r.q for r in rows], np.float64)
-
-
-def vectors(column: pa.Array) -> np.ndarray:
-    """A list column without nulls, of lists of equal length, as a matrix of doubles."""
+    """The queries in blocks of bounded size, dealt by a hash, a job for each block; those of one block at once."""
+    numbers, _ = batch_size(queries)
+    blocks = max(1, -(-numbers // QUERY_BLOCK))
+    for block in range(blocks):
+        q_ids, matrix = block_of(queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block) if blocks > 1 else queries)
+        if len(q_ids):
+            yield q_ids, matrix
+
+
+def vectors(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """A list column without null lists as a matrix of doubles; a null number is NaN. Lists of unlike lengths, or of others than dim, are an error."""
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    if not n:
+        return np.zeros((0, dim or 0))
+    flat = column.flatten()
+    width = len(flat) // n if dim is None else dim
+    if len(flat) != n * width or (np.diff(column.offsets.to_numpy()) != width).any():
+        raise error("Dimension Error", f"vectors don't all have {width} numbers")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width)
 
 
 class Best:
-    """The k best rows so far of each query; keeps ties at the last place by id."""
+    """The k best rows so far of each query; ties go by id, NaN comes last. A place that isn't filled has NaN and the largest id."""
 
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.ids, self.dist = k, [np.empty(0, np.int64)] * n, [np.empty(0)] * n
+    EMPTY = np.iinfo(np.int64).max
+
+    def __init__(self, q_ids: np.ndarray, k: int) -> None:
+        self.q_ids, self.k, n = q_ids, max(0, k), len(q_ids)
+        self.ids, self.dist = np.full((n, self.k), self.EMPTY), np.full((n, self.k), np.nan)
 
     def add(self, q: int, ids: np.ndarray, dist: np.ndarray) -> None:
-        if len(self.dist[q]) >= self.k and self.k:
-            keep = ~(dist > self.dist[q][-1])
+        """Rows for one query."""
+        if not self.k:
+            return
+        if not np.isnan(self.dist[q, -1]):
+            keep = ~(dist > self.dist[q, -1])
             ids, dist = ids[keep], dist[keep]
         if len(ids) > 4 * self.k + 16:
-            last = np.partition(dist, self.k - 1)[self.k - 1] if self.k else np.inf
-            keep = ~(dist > last)
+            keep = ~(dist > np.partition(dist, self.k - 1)[self.k - 1])
             ids, dist = ids[keep], dist[keep]
-        ids, dist = np.concatenate([self.ids[q], ids]), np.concatenate([self.dist[q], dist])
-        order = np.lexsort((ids, dist))[: self.k]  # NaN sorts last
-        self.ids[q], self.dist[q] = ids[order], dist[order]
-
-    def batch(self, q_ids: np.ndarray) -> pa.RecordBatch:
-        sizes = [len(x) for x in self.ids]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(q_ids, sizes), pa.int64()), pa.array(np.concatenate([*self.ids, np.empty(0, np.int64)])), pa.array(np.concatenate([*self.dist, np.empty(0)]), from_pandas=False)],
-            ["q_id", "id", "dist"],
-        )
+        self._merge(slice(q, q + 1), ids[None, :], dist[None, :])
+
+    def _merge(self, some, ids: np.ndarray, dist: np.ndarray) -> None:
+        ids, dist = np.concatenate([self.ids[some], ids], axis=1), np.concatenate([self.dist[some], dist], axis=1)
+        order = np.lexsort((ids, dist), axis=-1)[:, : self.k]  # NaN sorts last
+        self.ids[some], self.dist[some] = np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
+
+    def look(self, m: Metric, custom, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray) -> None:
+        """All rows for all queries."""
+        if not len(ids) or not self.k or not len(matrix):
+            return
+        if m.name not in ("euclidean", "sqeuclidean", "cosine") or custom or np.isnan(rows).any() or np.isnan(matrix).any():
+            for i, q in enumerate(matrix):
+                self.add(i, ids, block_distance(m, rows, q, custom))
+            return
+        squares, width = (rows * rows).sum(axis=1), min(len(ids), self.k + 16)
+        step = max(1, min(256, 4_000_000 // (width * max(1, rows.shape[1])), 8_000_000 // len(ids)))
+        for start in range(0, len(matrix), step):
+            self._look(m, ids, rows, squares, matrix[start : start + step], np.arange(start, min(start + step, len(matrix))), width)
+
+    def _look(self, m: Metric, ids: np.ndarray, rows: np.ndarray, squares: np.ndarray, asked: np.ndarray, at: np.ndarray, width: int) -> None:
+        """One product of matrices tells which rows can be among the k best; only those get exact distances."""
+        norms = (asked * asked).sum(axis=1)
+        rough = asked @ rows.T
+        if m.name == "cosine":
+            size = np.sqrt(norms[:, None] * squares[None, :])
+            rough = np.where(size == 0, 1.0, 1 - rough / np.where(size == 0, 1, size))
+        else:
+            rough *= -2
+            rough += norms[:, None]
+            rough += squares[None, :]
+        slack = 1e-9 * (1 + norms + squares.max())
+        bound = self.dist[at, -1] ** 2 if m.name == "euclidean" else self.dist[at, -1]
+        with np.errstate(invalid="ignore"):
+            busy = np.flatnonzero(~(rough.min(axis=1) > bound + slack))
+        if not len(busy):
+            return
+        rough, asked, at, slack = rough[busy], asked[busy], at[busy], slack[busy]
+        if width < len(ids):
+            near = np.argpartition(rough, width - 1, axis=1)[:, :width]
+            of = np.take_along_axis(rough, near, axis=1)
+            # More rows than these may be among the best only where ties or rounding reach past them.
+            last = np.partition(of, self.k - 1, axis=1)[:, self.k - 1]
+            unsure = of.max(axis=1) <= last + 2 * slack
+        else:
+            near, unsure = np.broadcast_to(np.arange(len(ids)), (len(busy), len(ids))), np.zeros(len(busy), bool)
+        for j in np.flatnonzero(unsure):
+            some = np.flatnonzero(rough[j] <= last[j] + 2 * slack[j])
+            self.add(int(at[j]), ids[some], block_distance(m, rows[some], asked[j]))
+        sure = ~unsure
+        if sure.any():
+            found = rows[near[sure]]
+            self._merge(at[sure], ids[near[sure]], block_distance(m, found.reshape(-1, rows.shape[1]), np.repeat(asked[sure], near.shape[1], axis=0)).reshape(found.shape[:2]))
+
+    def batch(self) -> pa.RecordBatch:
+        q, place = np.nonzero(self.ids != self.EMPTY)
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[q], pa.int64()), pa.array(self.ids[q, place]), pa.array(self.dist[q, place], from_pandas=False)], ["q_id", "id", "dist"])
 
 
 def _best(sent, k: int, m: Metric, custom, batches):
     q_ids, matrix = sent.value
-    best = Best(len(q_ids), k)
-    gemm = m.name in ("euclidean", "sqeuclidean", "cosine")
-    norms = (matrix * matrix).sum(axis=1)
+    best = Best(q_ids, k)
     for batch in batches:
-        rows, ids = vectors(batch.column(1)), batch.column(0).to_numpy()
-        if not len(ids) or k <= 0:
-            continue
-        if not gemm or np.isnan(rows).any() or np.isnan(matrix).any():
-            for i, q in enumerate(matrix):
-                best.add(i, ids, block_distance(m, rows, q, custom))
-            continue
-        # One product of matrices tells which rows can be among the k best; only those get exact distances.
-        squares = (rows * rows).sum(axis=1)
-        for start in range(0, len(matrix), 256):
-            some = slice(start, start + 256)
-            rough = rows @ matrix[some].T
-            if m.name == "cosine":
-                size = np.sqrt(squares[:, None] * norms[None, some])
-                rough = np.where(size == 0, 1.0, 1 - rough / np.where(size == 0, 1, size))
-            else:
-                rough = squares[:, None] + norms[None, some] - 2 * rough
-            last = min(k, len(ids)) - 1
-            limit = np.partition(rough, last, axis=0)[last]
-            slack = 1e-9 * (1 + np.abs(limit) + norms[some] + squares.max())
-            for j in range(rough.shape[1]):
-                at = np.flatnonzero(rough[:, j] <= limit[j] + slack[j])
-                best.add(start + j, ids[at], block_distance(m, rows[at], matrix[start + j]))
-    if k > 0:
-        yield best.batch(q_ids)
+        best.look(m, custom, batch.column(0).to_numpy(), vectors(batch.column(1), matrix.shape[1] if len(matrix) else None), matrix)
+    yield best.batch()
 
 
 def pairwise(queries: DataFrame, corpus: DataFrame, m: str | Metric = "euclidean") -> DataFrame:
@@ -164,5 +223,27 @@ def shards(corpus: DataFrame, n: int) -> DataFrame:
 
 
 def nearest_sharded(corpus: DataFrame, queries: DataFrame, k: int, n: int, m: str | Metric = "euclidean") -> DataFrame:
-    """As nearest_batch, by way of the k best of each shard, which a range partition brings together."""
-    return nearest_batch(shards(corpus, n).repartitionByRange(n, "shard"), queries, k, m)
+    """As nearest_batch, by way of the k best of each shard. A shard is a run of positions wherever its rows lie: each task keeps the
+    k best of each query and shard that it meets, so no vector moves; then shards are merged."""
+    m = metric(m)
+    numbers, _ = batch_size(queries)
+    if m.is_custom or numbers > QUERY_BLOCK:
+        return nearest_batch(shards(corpus, n), queries, k, m)
+    sent = corpus.sparkSession.sparkContext.broadcast(block_of(queries))
+
+    def each(batches):
+        q_ids, matrix = sent.value
+        best: dict[int, Best] = {}
+        for batch in batches:
+            ids, rows, shard = batch.column(0).to_numpy(), vectors(batch.column(1), matrix.shape[1] if len(matrix) else None), batch.column(2).to_numpy()
+            for x in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == x)
+                best.setdefault(x, Best(q_ids, k)).look(m, None, ids[at], rows[at], matrix)
+        for x, found in best.items():
+            out = found.batch()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, x, np.int32)), *out.columns], ["shard", "q_id", "id", "dist"])
+
+    placed = shards(corpus, n).select("id", "vector", "shard").where("vector is not null")
+    found = placed.mapInArrow(each, "shard int, q_id long, id long, dist double")
+    rank = F.row_number().over(Window.partitionBy("shard", "q_id").orderBy(F.asc_nulls_last("dist"), "id"))
+    return ranked(found.withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "id", "dist"), k)

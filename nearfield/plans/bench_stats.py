@@ -30,3 +30,13 @@ def recall_at_k(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     truth = exact.where(F.col("rank") <= k).select("q_id", "id")
     hit = found.where(F.col("rank") <= k).select("q_id", "id").withColumn("hit", F.lit(1))
     return truth.join(hit, ["q_id", "id"], "left").groupBy("q_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
+def dashboard(records: DataFrame, stats: list[str]) -> DataFrame:
+    """(dataset, records, and the mean of each figure): one row for each dataset."""
+    return records.groupBy("dataset").agg(F.count("*").alias("records"), *(F.avg(s).alias(s) for s in stats))
+
+
+def timings(exact_ms: float, approximate_ms: float, recall: float) -> dict:
+    """An exact and an approximate search side by side: times, how much faster the approximate one is, and what it finds."""
+    return {"exact_ms": exact_ms, "approximate_ms": approximate_ms, "speedup": exact_ms / approximate_ms if approximate_ms else float("inf"), "recall": recall}

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.errors import VectorError
 from nearfield.functions import distances as D
 from nearfield.functions import registry
 from nearfield.operators import search
-from nearfield.operators.ann import CellIndex, Config
+from nearfield.operators.ann import CellIndex, Config, Index
 from nearfield.operators.filters import Filter
-from nearfield.operators.index import VectorIndex, validate
+from nearfield.operators.index import ThreadSafeIndex, VectorIndex, repeated_ids, validate
 from nearfield.operators.metadata import Schema
 from nearfield.operators.positions import with_positions
 from nearfield.plans import bench_stats
 from nearfield.plans.monitor import latency_stats
+from nearfield.plans.stable import shared_folder
 from nearfield.streaming.ingest import latency_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-N_QUERIES, K = 10, 10
+#: Searches take as queries every row whose id is divisible by this.
+STEP, K = 20, 10
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +35,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def some_queries(rows: DataFrame, n: int = N_QUERIES) -> DataFrame:
-    return rows.where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
+def some_queries(rows: DataFrame) -> DataFrame:
+    """The stated query set."""
+    return rows.where(F.col("id") % STEP == 0).select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
 
 
-def stated_queries(rows: DataFrame) -> DataFrame:
-    """The whole query set: every row whose id is divisible by 20."""
-    return rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
+def all_queries(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("q_id"), F.col("vector").alias("q"))
+
+
+stated_queries = some_queries
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -65,12 +72,14 @@ DIST_SQL = {
     "angular": f"acos(greatest(-1.0, least(1.0, {_list('v[i] * q[i]')} / sqrt({_list('v[i] * v[i]')} * {_list('q[i] * q[i]')}))))",
     "canberra": _list("CASE WHEN abs(v[i]) + abs(q[i]) > 0 THEN abs(v[i] - q[i]) / (abs(v[i]) + abs(q[i])) ELSE 0.0::DOUBLE END"),
     "l15": f"pow({_list('pow(abs(v[i] - q[i]), 1.5)')}, 1.0 / 1.5)",
+    # The inverse covariance has 0.75 on its diagonal and -0.25 beside it.
+    "mahalanobis": f"sqrt(greatest(0.0, {_list('0.75 * (v[i] - q[i]) * (v[i] - q[i]) - 0.25 * (v[i] - q[i]) * (CASE WHEN i > 1 THEN v[i - 1] - q[i - 1] ELSE 0.0 END) - 0.25 * (v[i] - q[i]) * (CASE WHEN i < len(v) THEN v[i + 1] - q[i + 1] ELSE 0.0 END)')}))",
     "weighted": f"sqrt({_list('i * (v[i] - q[i]) * (v[i] - q[i])')})",
 }
 
 
-def knn_sql(dist: str = "euclidean", where: str = "true", k: int = K, n: int = N_QUERIES, rows: str = CORPUS_SQL, joins: str = "") -> str:
-    return f"""WITH {rows}, queries AS (SELECT id AS q_id, v AS q FROM corpus WHERE id < {n}),
+def knn_sql(dist: str = "euclidean", where: str = "true", k: int = K, rows: str = CORPUS_SQL, joins: str = "") -> str:
+    return f"""WITH {rows}, queries AS (SELECT id AS q_id, v AS q FROM corpus WHERE id % {STEP} = 0),
 pairs AS (SELECT q_id, c.id, {DIST_SQL[dist]} AS dist FROM corpus c {joins} CROSS JOIN queries WHERE {where}),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY dist, id) AS INTEGER) AS rank FROM pairs)
 SELECT q_id, rank, id, round(dist, 6) AS dist FROM ranked WHERE rank <= {k}"""
@@ -130,13 +139,28 @@ def knn_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     D.register_sql(spark)
     corpus(spark, sf_dir).createOrReplaceTempView("nearfield_corpus")
-    return spark.sql("SELECT id, round(dist, 6) AS dist FROM (SELECT c.id, vector_manhattan(c.vector, q.vector) AS dist FROM nearfield_corpus c JOIN (SELECT vector FROM nearfield_corpus WHERE id = 3) q) ORDER BY dist, id LIMIT 5")
+    one = "(SELECT max(vector) FROM nearfield_corpus WHERE id = 3)"
+    return spark.sql(f"SELECT id, round(dist, 6) AS dist FROM (SELECT id, vector_manhattan(vector, {one}) AS dist FROM nearfield_corpus) ORDER BY dist, id LIMIT 5")
+
 
+_SQL_METRICS = ("euclidean", "sqeuclidean", "cosine", "manhattan", "chebyshev", "hamming", "jaccard", "angular", "canberra")
 
-@register("knn_k_exceeds_n", knn_sql(where="c.id < 20", k=50))
+
+@register("sql_functions", f"WITH {CORPUS_SQL}, one AS (SELECT v AS q FROM corpus WHERE id = 3) SELECT c.id, {', '.join(f'round({DIST_SQL[m]}, 6) AS {m}' for m in _SQL_METRICS)}, round({DIST_SQL['minkowski3']}, 6) AS minkowski FROM corpus c CROSS JOIN one")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distance as a function of SQL, of every vector from one."""
+    D.register_sql(spark)
+    corpus(spark, sf_dir).createOrReplaceTempView("nearfield_corpus")
+    one = "(SELECT max(vector) FROM nearfield_corpus WHERE id = 3)"
+    each = ", ".join(f"round(vector_{m}(vector, {one}), 6) AS {m}" for m in _SQL_METRICS)
+    return spark.sql(f"SELECT id, {each}, round(vector_minkowski(vector, {one}, 3D), 6) AS minkowski FROM nearfield_corpus")
+
+
+@register("knn_k_exceeds_n", f"WITH {CORPUS_SQL}, one AS (SELECT v AS q FROM corpus WHERE id = 7) SELECT c.id, round({DIST_SQL['euclidean']}, 6) AS dist FROM corpus c CROSS JOIN one")
 def knn_k_exceeds_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query for more rows than there are, which gives them all."""
     rows = corpus(spark, sf_dir)
-    return rounded(search.nearest_batch(rows.where("id < 20"), some_queries(rows), 50))
+    return rounded(search.nearest(rows, rows.where("id = 7").first().vector, 2**31 - 1))
 
 
 @register("knn_sharded_merge", knn_sql())
@@ -150,10 +174,10 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.shards(with_positions(corpus(spark, sf_dir), "id"), 7).groupBy("shard").agg(F.count("*").alias("rows"))
 
 
-@register("pairwise_l2", f"WITH {CORPUS_SQL}, queries AS (SELECT id AS q_id, v AS q FROM corpus WHERE id < 5) SELECT q_id, c.id, round({DIST_SQL['euclidean']}, 6) AS dist FROM corpus c CROSS JOIN queries")
+@register("pairwise_l2", f"WITH {CORPUS_SQL}, queries AS (SELECT id AS q_id, v AS q FROM corpus WHERE id % {STEP} = 0) SELECT q_id, c.id, round({DIST_SQL['euclidean']}, 6) AS dist FROM corpus c CROSS JOIN queries")
 def pairwise_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
-    return rounded(search.pairwise(some_queries(rows, 5), rows))
+    return rounded(search.pairwise(some_queries(rows), rows))
 
 
 # Scalar functions
@@ -186,10 +210,14 @@ def knn_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.nearest_batch(rows, some_queries(rows), K, "sqeuclidean"))
 
 
-@register("knn_half")
+#: Rounding to half precision: to even, at the spacing of the number's power of two, which is 2^-24 below 2^-14.
+HALF_SQL = "CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x::DOUBLE / pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10), 0) * pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10) END"
+
+
+@register("knn_half", knn_sql(rows=f"corpus AS (SELECT vec_id AS id, list_transform(embedding, lambda x: {HALF_SQL}) AS v, label FROM embeddings)"))
 def knn_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir).withColumn("vector", D.to_half(F.col("vector")))
-    return rounded(search.nearest_batch(rows, stated_queries(rows), K))
+    return rounded(search.nearest_batch(rows, some_queries(rows), K))
 
 
 # Filters
@@ -243,7 +271,7 @@ def knn_after_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_after_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, index = corpus(spark, sf_dir), _index(spark, sf_dir)
     index.update(20, rows.where("id = 5").first().vector)
-    return rounded(index.search_batch(some_queries(rows), K))
+    return rounded(index.search_batch(some_queries(index.rows()), K))
 
 
 @register("knn_after_compact", "SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id % 4 <> 0")
@@ -275,9 +303,31 @@ def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(cut.withColumn("id", F.col("label")), 64).select("issue", F.col("n").cast("long").alias("n"))
 
 
+@register("rejected_input", "SELECT * FROM (VALUES ('dimension', 'Dimension Error'), ('duplicate', 'Duplicate IDs'), ('known id', 'Duplicate IDs'), ('negative', 'Negative ID'), ('query', 'Dimension Error'), ('rows', 'Row Limit'), ('unknown', 'Unknown ID')) t(input, error)")
+def rejected_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of error for each bad input, over the whole table: labels as ids, vectors cut, ids turned negative and so on."""
+    rows, index = corpus(spark, sf_dir).select("id", "vector"), _index(spark, sf_dir)
+    calls = {
+        "dimension": lambda: VectorIndex(spark, 64).add(rows.withColumn("vector", F.slice("vector", 1, 8))),
+        "duplicate": lambda: VectorIndex(spark, 64).add(corpus(spark, sf_dir).select(F.col("label").cast("long").alias("id"), "vector")),
+        "known id": lambda: index.add(rows),
+        "negative": lambda: VectorIndex(spark, 64).add(rows.withColumn("id", -F.col("id"))),
+        "query": lambda: index.search([1.0], K),
+        "rows": lambda: VectorIndex(spark, 64, max_rows=3).add(rows),
+        "unknown": lambda: index.update(-1, [0.0] * 64),
+    }
+    found = []
+    for name, call in calls.items():
+        try:
+            call()
+        except VectorError as e:
+            found.append((name, e.kind))
+    return spark.createDataFrame(found, "input string, error string")
+
+
 @register("duplicate_ids", "SELECT CAST(label AS BIGINT) AS id, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) > 1")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).groupBy(F.col("label").cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    return repeated_ids(corpus(spark, sf_dir).withColumn("id", F.col("label").cast("long")))
 
 
 @register("metadata_defaults", "SELECT vec_id AS id, coalesce(quality, 0)::BIGINT AS quality, '' AS country, 0.0::DOUBLE AS score, 0::BIGINT AS n_tags, 0::BIGINT AS seen FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id")
@@ -288,6 +338,93 @@ def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *schema.columns(rows)).select("id", "quality", "country", "score", F.size("tags").cast("long").alias("n_tags"), F.unix_timestamp("seen").alias("seen"))
 
 
+@register("metadata_added", "SELECT vec_id AS id, coalesce(lang, '') AS lang, coalesce(n_chars, 0)::BIGINT AS n_chars, 0.0::DOUBLE AS score FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
+def metadata_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata that comes with the vectors, through the index; what is missing takes its type's default."""
+    index = VectorIndex(spark, 64)
+    index.set_metadata_schema({"lang": "string", "n_chars": "int", "score": "float"})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    index.add(corpus(spark, sf_dir).select("id", "vector").join(docs, "id", "left"))
+    return index.rows().select("id", "lang", F.col("n_chars").cast("long").alias("n_chars"), F.col("score").cast("double").alias("score"))
+
+
+@register("knn_saved_loaded", knn_sql("cosine", where="c.id % 7 <> 0"))
+def knn_saved_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed rows stay away when an index is saved and loaded."""
+    rows = corpus(spark, sf_dir)
+    index = VectorIndex(spark, 64, "cosine").add(rows.select("id", "vector"))
+    index.remove(rows.where("id % 7 = 0").select("id"))
+    root, name = shared_folder(spark), f"indices/{uuid.uuid4().hex}"
+    index.save(name, root)
+    return rounded(VectorIndex.load(spark, name, root).search_batch(some_queries(rows), K))
+
+
+@register("knn_cells_saved_loaded", knn_sql("manhattan"))
+def knn_cells_saved_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir)
+    root, name = shared_folder(spark), f"indices/{uuid.uuid4().hex}"
+    CellIndex(spark, 64, "manhattan", Config(max_elements=10**9)).add(rows.select("id", "vector")).build().save(name, root)
+    return rounded(CellIndex.load(spark, name, root).search_batch(some_queries(rows), K, probes=10**6))
+
+
+@register("knn_named_filter", knn_sql(where="c.id IN (SELECT id FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) WHERE pos < 400 AND pos % 3 = 1)"))
+def knn_named_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    index.update_boolean_filter("thirds", [i % 3 == 1 for i in range(400)])
+    return rounded(index.search_batch(some_queries(corpus(spark, sf_dir)), K, "thirds"))
+
+
+@register("positions_after_changes", "SELECT * FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, CASE WHEN vec_id = 40 THEN 2 ELSE 1 END AS version FROM embeddings) WHERE id <> 41")
+def positions_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An updated row keeps its position, a removed one leaves a gap, which compact() isn't asked to close here."""
+    index = _index(spark, sf_dir)
+    index.update(40, [0.0] * 64)
+    index.remove([41])
+    return index.rows().select("id", "pos", "version")
+
+
+@register("search_calls", f"WITH {CORPUS_SQL}, one AS (SELECT v AS q FROM corpus WHERE id = 9), d AS (SELECT c.id, label, {DIST_SQL['euclidean']} AS dist FROM corpus c CROSS JOIN one), calls(call) AS (VALUES ('allowed'), ('callback'), ('facade'), ('filtered'), ('search'), ('wrapper')), r AS (SELECT call, id, dist, row_number() OVER (PARTITION BY call ORDER BY dist, id) AS rank FROM d, calls WHERE CASE call WHEN 'allowed' THEN id % 4 = 1 AND id < 400 WHEN 'callback' THEN id % 6 = 5 WHEN 'filtered' THEN id > 100 ELSE true END) SELECT call, CAST(rank AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}")
+def search_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query through each way to ask: the index, its filters, the wrapper for threads and the face for both kinds."""
+    rows, index = corpus(spark, sf_dir), _index(spark, sf_dir)
+    q = rows.where("id = 9").first().vector
+    wrapper, face = ThreadSafeIndex(spark, 64), Index(spark, "exact", 64)
+    wrapper.add(rows.select("id", "vector"))
+    face._index.add(rows.select("id", "vector"))
+    found = {
+        "allowed": index.search_allowed(q, K, range(1, 400, 4)), "callback": index.search_callback(q, K, lambda i: i % 6 == 5), "facade": face.search(q, K),
+        "filtered": index.search_filtered(q, K, "id > 100"), "search": index.search(q, K), "wrapper": wrapper.search(q, K),
+    }
+    out = [(call, rank + 1, int(i), float(d)) for call, (ids, dist) in found.items() for rank, (i, d) in enumerate(zip(ids, dist))]
+    return rounded(spark.createDataFrame(out, "call string, rank int, id long, dist double"))
+
+
+@register("items_added", "SELECT * FROM (VALUES ('cells', 0, 3), ('exact', 0, 3)) t(kind, first, size)")
+def items_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors appended one by one take the numbers of their slots."""
+    vectors = [r.vector for r in corpus(spark, sf_dir).where("id < 3").orderBy("id").collect()]
+    out = []
+    for kind, index in (("cells", CellIndex(spark, 64)), ("exact", VectorIndex(spark, 64))):
+        ids = [index.add_item(v) for v in vectors]
+        out.append((kind, ids[0], len(index)))
+    return spark.createDataFrame(out, "kind string, first int, size int")
+
+
+@register("metrics_snapshot", "SELECT 3::BIGINT AS query_count, count(*) AS index_size, 64 AS dimensions, 'cosine' AS distance_metric, 0.95::DOUBLE AS recall_at_10 FROM embeddings")
+def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the collector says after two searches and a batch."""
+    rows = corpus(spark, sf_dir)
+    index = VectorIndex(spark, 64, "cosine").add(rows.select("id", "vector"))
+    index.enable_metrics()
+    q = rows.where("id = 9").first().vector
+    index.search(q, K)
+    index.search(q, K)
+    index.search_batch(some_queries(rows), K).count()
+    index.update_recall_estimate(10, 0.95)
+    s = index.metrics()
+    return spark.createDataFrame([(s["query_count"], s["index_size"], s["dimensions"], s["distance_metric"], s["recall_estimates"][10])], "query_count long, index_size long, dimensions int, distance_metric string, recall_at_10 double")
+
+
 # Metrics that users register
 
 
@@ -301,6 +438,7 @@ def _custom_query(name: str, function, dist: str) -> None:
 
 _custom_query("l15", lambda a, b: sum(abs(x - y) ** 1.5 for x, y in zip(a, b)) ** (1 / 1.5), "l15")
 _custom_query("own_manhattan", lambda a, b: sum(abs(x - y) for x, y in zip(a, b)), "manhattan")
+_custom_query("mahalanobis", lambda a, b: max(0.0, sum(0.75 * x * x - 0.25 * x * (d[i - 1] if i else 0.0) - 0.25 * x * (d[i + 1] if i + 1 < len(d) else 0.0) for d in [[x - y for x, y in zip(a, b)]] for i, x in enumerate(d))) ** 0.5, "mahalanobis")
 _custom_query("weighted", lambda a, b: sum((i + 1) * (x - y) ** 2 for i, (x, y) in enumerate(zip(a, b))) ** 0.5, "weighted")
 
 
@@ -313,8 +451,8 @@ def knn_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Approximate search
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> CellIndex:
-    return CellIndex(spark, 64, "euclidean", Config(max_elements=10**9)).add(corpus(spark, sf_dir).select("id", "vector")).build()
+def _cells(spark: SparkSession, sf_dir: str, of: str = "euclidean") -> CellIndex:
+    return CellIndex(spark, 64, of, Config(max_elements=10**9)).add(corpus(spark, sf_dir).select("id", "vector")).build()
 
 
 @register("knn_ivf_full_probe", knn_sql())
@@ -324,10 +462,10 @@ def knn_ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("knn_ivf")
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_cells(spark, sf_dir).search_batch(stated_queries(corpus(spark, sf_dir)), K))
+    return rounded(_cells(spark, sf_dir).search_batch(some_queries(corpus(spark, sf_dir)), K))
 
 
-@register("recall_full_probe", f"SELECT vec_id AS q_id, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id < {N_QUERIES}")
+@register("recall_full_probe", f"SELECT vec_id AS q_id, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id % {STEP} = 0")
 def recall_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
     return bench_stats.recall_at_k(search.nearest_batch(rows, some_queries(rows), K), _cells(spark, sf_dir).search_batch(some_queries(rows), K, probes=10**6), K)
@@ -336,7 +474,28 @@ def recall_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("recall_ivf")
 def recall_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
-    return bench_stats.recall_at_k(search.nearest_batch(rows, stated_queries(rows), K), _cells(spark, sf_dir).search_batch(stated_queries(rows), K), K)
+    return bench_stats.recall_at_k(search.nearest_batch(rows, some_queries(rows), K), _cells(spark, sf_dir).search_batch(some_queries(rows), K), K)
+
+
+@register("recall_floor", "SELECT * FROM (VALUES ('cosine', true), ('euclidean', true), ('manhattan', true)) t(metric, enough)")
+def recall_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the cells, as set by default, find 0.9 of the exact neighbours over the query set, for vectors of unlike norms."""
+    rows, out = scaled(corpus(spark, sf_dir)).withColumn("vector", F.col("vector").cast("array<float>")), []
+    for of in ("cosine", "euclidean", "manhattan"):
+        cells = CellIndex(spark, 64, of, Config(max_elements=10**9)).add(rows.select("id", "vector")).build()
+        recall = bench_stats.recall_at_k(search.nearest_batch(rows, some_queries(rows), K, of), cells.search_batch(some_queries(rows), K), K).agg(F.avg("recall")).first()[0]
+        out.append((of, recall >= 0.9))
+    return spark.createDataFrame(out, "metric string, enough boolean")
+
+
+@register("knn_cells_after_changes", knn_sql(rows="base AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), corpus AS (SELECT id, v, label FROM base WHERE id <> 20 AND id % 10 <> 3 UNION ALL SELECT 20, v, label FROM base WHERE id = 5)"))
+def knn_cells_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal, update and compaction of the cell index, all cells probed."""
+    rows, cells = corpus(spark, sf_dir), _cells(spark, sf_dir)
+    cells.remove(rows.where("id % 10 = 3").select("id"))
+    cells.update(20, rows.where("id = 5").first().vector)
+    cells.compact()
+    return rounded(cells.search_batch(some_queries(cells.rows()), K, probes=10**6))
 
 
 # Monitoring and benchmark records; `events` stands for a query log
@@ -350,7 +509,8 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dashboard_means", "SELECT event_type AS dataset, count(*) AS records, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def dashboard_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("dataset")).agg(F.count("*").alias("records"), F.round(F.avg("value"), 6).alias("mean"))
+    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("dataset"), "value")
+    return bench_stats.dashboard(records, ["value"]).select("dataset", "records", F.round("value", 6).alias("mean"))
 
 
 @register("latency_windows", "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
