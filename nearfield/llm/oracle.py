@@ -44,8 +44,9 @@ base AS (SELECT r, label, i - 1 AS place FROM (SELECT r, w, label, n, words, unn
 hits AS (SELECT r, template, label, n, place, i - 1 - place AS diagonal FROM (SELECT r, i, list_slice(w, i, i + {k - 1}) AS gram FROM (SELECT r, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d)) JOIN templates USING (gram)),
 news AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {licenses.NEIGHBOUR} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT r, template, diagonal FROM hits)),
 runs AS (SELECT r, template, diagonal, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM news),
-shares AS (SELECT r, label, count(DISTINCT place + j) / n AS share FROM hits JOIN runs USING (r, template, diagonal) CROSS JOIN range({k}) places(j) GROUP BY r, template, label, n, run),
-found AS (SELECT r, label, share FROM shares WHERE share >= {licenses.COVERED}),
+shares AS (SELECT r, label, n, min(diagonal + place) AS first, max(diagonal + place) + {k - 1} AS last, count(DISTINCT place + j) / n AS share FROM hits JOIN runs USING (r, template, diagonal) CROSS JOIN range({k}) places(j) GROUP BY r, template, label, n, run),
+enough AS (SELECT * FROM shares WHERE share >= CASE WHEN n < {licenses.SHORT} THEN 1.0 ELSE {licenses.COVERED} END),
+found AS (SELECT r, label, share FROM enough s WHERE NOT EXISTS (SELECT 1 FROM enough t WHERE t.r = s.r AND t.label <> s.label AND t.first <= s.last AND s.first <= t.last AND (t.share > s.share OR t.share = s.share AND t.n > s.n))),
 b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM found) GROUP BY r),
 s AS (SELECT r, max(share) AS share FROM found GROUP BY r)

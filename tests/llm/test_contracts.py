@@ -101,6 +101,14 @@ def test_licenses(spark, docs, odd):
     one = licenses.scan(spark.createDataFrame([(1, text), (2, "permission is hereby granted to no one")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert one[0].labels == ["mit-text"] and 0.6 <= one[0].score <= 1 and one[0].spans[0]["first"] == 2
     assert one[1].labels == [] and one[1].score == 0
+    # Labels given by hand.
+    cases = [
+        ("Licensed under CC BY-NC 4.0", ["cc-by-nc-notice"]), ("licensed under cc by 4.0.", ["cc-by-notice"]), ("Licensed under CC BY-SA 4.0 and more", ["cc-by-sa-notice"]), ("Licensed under CC BY-ND 4.0", []),
+        ("redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ["agpl-text", "gpl"]),
+        ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["bsd-text"]),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(cases[r.doc_id][0], r.labels) for r in got] == cases
 
 
 @pytest.mark.parametrize("name", list(entries.ORACLE_SQL))
