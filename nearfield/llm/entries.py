@@ -60,9 +60,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove(documents(spark, sf_dir))
-    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats.remove(documents(spark, sf_dir), passage=repeats.PASSAGE)
+    covered = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", covered("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        covered("passages").alias("n_passage"),
+    )
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

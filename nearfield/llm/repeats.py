@@ -26,9 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, partitions, stable
+from nearfield.llm.common import MAP_BITS, bit_map, partitions, slices, stable
 
-LENGTH = 400
+#: Length of what is removed, and of a repeated passage: 50 words of five letters have 300 bytes.
+LENGTH, PASSAGE = 400, 256
 #: Bytes of a text that are looked at together; distinct stretches of an anchor up to which it is merged in one task
 #: (an anchor with more has its windows counted by hash); stretches that are merged together.
 CHUNK, HOT, TOGETHER = 4_000_000, 20_000, 20_000
@@ -44,17 +45,20 @@ def _gram(length: int) -> int:
     return k
 
 
-def _anchored(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each stretch: the anchor's place and hash, and the first and last start of its windows. Among equal hashes the last
-    place of a window is its anchor."""
+def _hashed(data: np.ndarray, k_most: int) -> np.ndarray:
+    """The hash of each gram of k_most bytes."""
     k, h = 1, _BYTES[data]
-    while k < _gram(length):
+    while k < k_most:
         h = h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) + h[k:]
         k *= 2
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    least = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
-    span, w = length - k + 1, 1
+    return h ^ (h >> np.uint64(29))
+
+
+def _anchored(h: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """The anchors of windows of span grams: each one's place, and the first and last start of its windows. Among equal hashes the last
+    place of a window is its anchor."""
+    least, w = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64)), 1
     while w * 2 <= span:
         least = np.minimum(least[:-w], least[w:])
         w *= 2
@@ -63,22 +67,48 @@ def _anchored(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     at = (_LOW - (least & _LOW)).astype(np.int64)
     cut = np.flatnonzero(np.diff(at)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-    place = at[first]
-    return place, h[place].view(np.int64), first, last
+    return at[first], first, last
 
 
-def stretches(data: bytes, length: int, chunk: int = CHUNK) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor's hash, its place, first and last start of its windows) for all windows of a text. A long text goes in
-    chunks, at whose ends a stretch may be cut in two."""
-    for start in range(0, max(1, len(data) - length + 1), chunk):
-        part = np.frombuffer(data, np.uint8)[start : start + chunk + length - 1]
-        if len(part) >= length:
-            place, h, first, last = _anchored(part, length)
-            yield from zip(h.tolist(), (place + start).tolist(), (first + start).tolist(), (last + start).tolist())
+#: (hash, place, then the first and last start of the windows of each length, which is after the last where there are none)
+Stretch = tuple[int, ...]
 
 
-def _context(data: bytes, first: int, last: int, length: int) -> int:
-    return xxhash.xxh3_64_intdigest(data[first : last + length]) - (1 << 63)
+def stretches(data: bytes, lengths: tuple[int, ...], chunk: int = CHUNK) -> Iterator[Stretch]:
+    """The anchors of a text's windows of one or two lengths, the longer one first, with all their windows. An anchor of a long window
+    is also that of the short ones around it. A long text goes in chunks, which overlap so that each sees all windows of its anchors."""
+    k, whole = _gram(lengths[-1]), np.frombuffer(data, np.uint8)
+    for start in range(0, max(1, len(data)), chunk):
+        base = max(0, start - lengths[0])
+        part = whole[base : start + chunk + lengths[0]]
+        if len(part) < lengths[-1]:
+            continue
+        h = _hashed(part, k)
+        found: dict[int, list[int]] = {}
+        for i, length in enumerate(lengths):
+            if len(part) >= length:
+                for place, first, last in zip(*(x.tolist() for x in _anchored(h, length - k + 1))):
+                    if start <= place + base < start + chunk:
+                        found.setdefault(place, [0, -1] * len(lengths))[2 * i : 2 * i + 2] = first + base, last + base
+        hashes = h.view(np.int64)
+        for place, ranges in found.items():
+            yield (int(hashes[place]), place + base, *ranges)
+
+
+def _region(stretch: Stretch, lengths: tuple[int, ...]) -> tuple[int, int]:
+    """Where the windows of all lengths start and end."""
+    some = [(stretch[2 + 2 * i], stretch[3 + 2 * i] + length) for i, length in enumerate(lengths) if stretch[2 + 2 * i] <= stretch[3 + 2 * i]]
+    return min(a for a, _ in some), max(b for _, b in some)
+
+
+def _context(data: bytes, stretch: Stretch, lengths: tuple[int, ...]) -> int:
+    """Names a stretch's bytes and, with two lengths, which windows of each it has."""
+    start, end = _region(stretch, lengths)
+    if len(lengths) == 1:
+        return xxhash.xxh3_64_intdigest(data[start:end]) - (1 << 63)
+    place = stretch[1]
+    shape = [x for i in range(len(lengths)) for x in ((stretch[2 + 2 * i] - place, stretch[3 + 2 * i] - place) if stretch[2 + 2 * i] <= stretch[3 + 2 * i] else (0, 0))]
+    return xxhash.xxh3_64_intdigest(b"%d,%d,%d,%d," % tuple(shape) + data[start:end]) - (1 << 63)
 
 
 def _set(data: bytes, h: int) -> int:
@@ -160,7 +190,7 @@ def repeated_windows(group: np.ndarray, after: tuple, before: tuple, left: np.nd
     out = np.zeros((m, length + 1), bool)
     follow, precede = np.empty(m, np.int64), np.empty(m, np.int64)
     starts = starts_of(group, after[0]), starts_of(group, before[0])
-    for d in range(int(left.max()) + 1):
+    for d in range(min(int(left.max()), length) + 1):
         valid = (left >= d) & (right >= length - d)
         if valid.sum() < 2:
             continue
@@ -195,10 +225,16 @@ RUNS = pa.list_(pa.struct([("least", pa.int32()), ("most", pa.int32())]))
 RUNS_SQL = "array<struct<least: int, most: int>>"
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", hot: int = HOT, chunk: int = CHUNK, together: int = TOGETHER) -> DataFrame:
-    """(k1, k2, spans): for each distinct text with bytes that a repeated string covers, by the text's two hashes, the sorted, disjoint spans of
-    (start, end) in bytes. Texts shorter than the length have none."""
+def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", hot: int = HOT, chunk: int = CHUNK, together: int = TOGETHER, passage: int | None = None) -> DataFrame:
+    """(k1, k2, spans, passages): for each distinct text with bytes that a repeated string covers, by the text's two hashes, the sorted spans of
+    (start, end) in bytes; passages are those of the shorter length, if one is asked for. Texts shorter than a length have none of it."""
     spark = docs.sparkSession
+    lengths = (length,) if passage is None else (length, passage)
+    if passage is not None and not (0 < passage <= length and _gram(passage) == _gram(length)):
+        raise ValueError("a passage must be shorter than the length and have grams of the same size")
+    ranges = [name for i in range(len(lengths)) for name in (f"first{i}", f"last{i}")]
+    runs = [f"runs{i}" for i in range(len(lengths))]
+    no_runs = [F.lit(None).cast(RUNS_SQL).alias(r) for r in runs]
     texts = keyed(docs, text_col).select("k1", "k2", "text")
 
     def contexts(batches):
@@ -206,30 +242,30 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", hot:
             anchors, found = [], []
             for text in batch.column(0):
                 data = (text.as_py() or "").encode()
-                for h, _, first, last in stretches(data, length, chunk):
-                    anchors.append(h)
-                    found.append(_context(data, first, last, length))
+                for stretch in stretches(data, lengths, chunk):
+                    anchors.append(stretch[0])
+                    found.append(_context(data, stretch, lengths))
             yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(found, pa.int64())], ["anchor", "context"])
 
     counts = stable(texts.select("text").mapInArrow(contexts, "anchor long, context long").groupBy("anchor", "context").agg(F.count("*").alias("n")))
     by_anchor = counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("total > 1")
     by_anchor = stable(by_anchor)
-    whole = counts.where("n > 1").select("anchor", "context", F.lit(None).cast(RUNS_SQL).alias("runs"))
+    whole = counts.where("n > 1").select("anchor", "context", F.lit(True).alias("all"), *no_runs)
     unequal = by_anchor.where("distinct > 1 and single > 0")
     maps = spark.sparkContext.broadcast((bit_map(by_anchor.select("anchor")), bit_map(unequal.select("anchor")), bit_map(unequal.where(F.col("distinct") > hot).select("anchor"))))
 
     def occurrences(batches):
         again = maps.value[0]
         for batch in batches:
-            rows: list[list[int]] = [[] for _ in range(7)]
+            rows: list[list[int]] = [[] for _ in range(5 + len(ranges))]
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = (text.as_py() or "").encode()
-                for h, place, first, last in stretches(data, length, chunk) if again else ():
-                    if _set(again, h):
-                        for column, value in zip(rows, (k1, k2, h, _context(data, first, last, length), place, first, last)):
+                for stretch in stretches(data, lengths, chunk) if again else ():
+                    if _set(again, stretch[0]):
+                        for column, value in zip(rows, (k1, k2, stretch[0], _context(data, stretch, lengths), *stretch[1:])):
                             column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], ["k1", "k2", "anchor", "context", "place", "first", "last"])
+            kinds = [pa.int64()] * 4 + [pa.int32()] * (1 + len(ranges))
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], ["k1", "k2", "anchor", "context", "place", *ranges])
 
     def shards(batches):
         """A shard is what a task reads, in parts of bounded size; its stretches come sorted in both directions."""
@@ -239,9 +275,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", hot:
         for batch in batches:
             for text in batch.column(0):
                 data = (text.as_py() or "").encode()
-                for h, place, first, last in stretches(data, length, chunk) if some else ():
+                for stretch in stretches(data, lengths, chunk) if some else ():
+                    h, place = stretch[:2]
                     if _set(some, h) and not (maps.value[2] and _set(maps.value[2], h)):
-                        rows[h, _context(data, first, last, length)] = data[first:place][::-1], data[place : last + length]
+                        start, end = _region(stretch, lengths)
+                        rows[h, _context(data, stretch, lengths)] = data[start:place][::-1], data[place:end]
                 if len(rows) >= together:
                     yield shard_of(rows, (part << 24) + number)
                     rows, number = {}, number + 1
@@ -284,41 +322,47 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", hot:
         one = merge(group, gapless(numbers[0]), numbers[0], numbers[1], before, length)
         two = merge(group, gapless(numbers[2]), numbers[2], numbers[3], after, length)
         left, right = (np.fromiter(map(len, x), np.int64, len(rows)) for x in (before, after))
-        flags = repeated_windows(group, two, one, left, right, length)
-        at = np.flatnonzero(flags.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array([rows[i][1] for i in at], pa.int64()), pa.array(_runs(flags[at]), RUNS)], ["anchor", "context", "runs"])
+        flags = [repeated_windows(group, two, one, left, right, n) for n in lengths]
+        at = np.flatnonzero(np.any([f.any(axis=1) for f in flags], axis=0))
+        return pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array([rows[i][1] for i in at], pa.int64()), *(pa.array(_runs(f[at]), RUNS) for f in flags)], ["anchor", "context", *runs])
 
     def windows(batches):
         """Of anchors with too many stretches for one task: each window's hash, a row each."""
         hot_map = maps.value[2]
         for batch in batches:
-            rows: set[tuple[int, int, int, int]] = set()
+            rows: set[tuple[int, ...]] = set()
             for text in batch.column(0):
                 data = (text.as_py() or "").encode()
-                for h, place, first, last in stretches(data, length, chunk):
-                    if _set(hot_map, h):
-                        context = _context(data, first, last, length)
-                        rows.update((h, context, place - s, xxhash.xxh3_64_intdigest(data[s : s + length]) - (1 << 63)) for s in range(first, last + 1))
+                for stretch in stretches(data, lengths, chunk):
+                    if _set(hot_map, stretch[0]):
+                        context = _context(data, stretch, lengths)
+                        for i, n in enumerate(lengths):
+                            rows.update((stretch[0], context, i, stretch[1] - s, xxhash.xxh3_64_intdigest(data[s : s + n]) - (1 << 63)) for s in range(stretch[2 + 2 * i], stretch[3 + 2 * i] + 1))
             listed = list(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in listed], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["anchor", "context", "d", "window"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in listed], t) for i, t in enumerate(kinds)], ["anchor", "context", "kind", "d", "window"])
 
     tasks = partitions(spark)
     shipped = texts.select("text").mapInArrow(shards, "anchor long, context long, shard long, rank_before int, common_before int, rank_after int, common_after int, before binary, after binary")
     ordered = shipped.repartition(tasks, "anchor").sortWithinPartitions("anchor", "context", "shard")
-    found = whole.unionByName(ordered.mapInArrow(merged, f"anchor long, context long, runs {RUNS_SQL}"))
+    schema = ", ".join(f"{r} {RUNS_SQL}" for r in runs)
+    found = whole.unionByName(ordered.mapInArrow(merged, f"anchor long, context long, {schema}").withColumn("all", F.lit(False)))
     if maps.value[2]:
-        each = stable(texts.select("text").mapInArrow(windows, "anchor long, context long, d int, window long").distinct())
-        twice = each.groupBy("anchor", "d", "window").count().where("count > 1").drop("count")
-        found = found.unionByName(each.join(twice, ["anchor", "d", "window"]).groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("d").alias("least"), F.col("d").alias("most"))).alias("runs")))
+        each = stable(texts.select("text").mapInArrow(windows, "anchor long, context long, kind int, d int, window long").distinct())
+        twice = each.groupBy("anchor", "kind", "d", "window").count().where("count > 1").drop("count")
+        run = lambda i: F.collect_list(F.when(F.col("kind") == i, F.struct(F.col("d").alias("least"), F.col("d").alias("most")))).alias(f"runs{i}")
+        found = found.unionByName(each.join(twice, ["anchor", "kind", "d", "window"]).groupBy("anchor", "context").agg(F.lit(False).alias("all"), *map(run, range(len(lengths)))))
     # A stretch that is equal to another as a whole needs no runs.
-    found = found.groupBy("anchor", "context").agg(F.max(F.col("runs").isNull()).alias("all"), F.first("runs", ignorenulls=True).alias("runs"))
-    met = texts.mapInArrow(occurrences, "k1 long, k2 long, anchor long, context long, place int, first int, last int").distinct()
-    covered = met.join(found, ["anchor", "context"]).select(
-        "k1", "k2",
-        F.explode(F.when(F.col("all"), F.array(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")))).otherwise(
-            F.expr(f"transform(runs, r -> struct(place - r.most as start, place - r.least + {length} as end))"))).alias("span"),
-    )
-    return covered.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    found = found.groupBy("anchor", "context").agg(F.max("all").alias("all"), *(F.first(r, ignorenulls=True).alias(r) for r in runs))
+    met = texts.mapInArrow(occurrences, "k1 long, k2 long, anchor long, context long, place int, " + ", ".join(f"{r} int" for r in ranges)).distinct()
+    spans = [
+        F.expr(f"if(all, if(first{i} <= last{i}, array(struct(first{i} as start, last{i} + {n} as end)), null), transform(runs{i}, r -> struct(place - r.most as start, place - r.least + {n} as end)))").alias(f"spans{i}")
+        for i, n in enumerate(lengths)
+    ]
+    covered = met.join(found, ["anchor", "context"]).select("k1", "k2", *spans)
+    gathered = [F.array_sort(F.flatten(F.collect_list(f"spans{i}"))).alias(name) for i, name in zip(range(len(lengths)), ("spans", "passages"))]
+    none = [F.expr("cast(null as array<struct<start: int, end: int>>)").alias("passages")] if passage is None else []
+    return covered.groupBy("k1", "k2").agg(*gathered).select("*", *none)
 
 
 def _without_gaps(shard: np.ndarray, rank: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -338,35 +382,46 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select("*", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), *([] if text_col == "text" else [text.alias("text")]))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk: int = CHUNK, together: int = TOGETHER) -> DataFrame:
-    """(id, n_bytes, removed, kept) for each row: the maximal spans of (start, end) in bytes that strings of the length
-    cover which also start elsewhere, in any text or the same one, and the bytes that are left.
+def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk: int = CHUNK, together: int = TOGETHER, passage: int | None = None) -> DataFrame:
+    """(id, n_bytes, removed, kept, passages) for each row: the maximal spans of (start, end) in bytes that strings of the length
+    cover which also start elsewhere, in any text or the same one, and the bytes that are left. passages are the spans of strings of a
+    shorter length, which are told but not removed; without one there are none.
 
     A null text is empty. Copies count as elsewhere, so a text of enough bytes with a copy is removed whole, in both.
-    Rows with equal or null ids stay rows of their own.
+    Rows with equal or null ids stay rows of their own. A text of any length is read whole, in chunks.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeats(source, length, "text", hot, chunk, together)
+    spans = repeats(source, length, "text", hot, chunk, together, passage)
     id_type = source.schema["id"].dataType.simpleString()
 
     def cut(batches):
-        for batch in batches:
-            sizes, removed, kept = [], [], []
-            for text, some in zip(batch.column(1), batch.column(2).to_pylist()):
-                data, joined = (text.as_py() or "").encode(), []
-                for s in some or ():
-                    if joined and s["start"] <= joined[-1]["end"]:
-                        joined[-1]["end"] = max(joined[-1]["end"], s["end"])
-                    else:
-                        joined.append(dict(s))
+        for batch in slices(batches):
+            sizes, removed, kept, passages = [], [], [], []
+            for text, some, shorter in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                data, joined = (text.as_py() or "").encode(), _joined(some)
                 edges = [0, *(x for s in joined for x in (s["start"], s["end"])), len(data)]
                 sizes.append(len(data))
                 removed.append(joined)
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary())], [id_col, "n_bytes", "removed", "kept"])
-
-    joined = keyed(source, "text").join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(cut, f"`{id_col}` {id_type}, n_bytes long, removed array<struct<start: int, end: int>>, kept binary")
+                passages.append(_joined(shorter))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary()), pa.array(passages, SPANS)], [id_col, "n_bytes", "removed", "kept", "passages"]
+            )
+
+    joined = keyed(source, "text").join(spans, ["k1", "k2"], "left").select("id", "text", "spans", "passages")
+    span = "array<struct<start: int, end: int>>"
+    return joined.mapInArrow(cut, f"`{id_col}` {id_type}, n_bytes long, removed {span}, kept binary, passages {span}")
+
+
+def _joined(spans: list[dict] | None) -> list[dict]:
+    """Sorted spans as the maximal ones that they cover."""
+    out: list[dict] = []
+    for s in spans or ():
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

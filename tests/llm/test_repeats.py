@@ -75,7 +75,18 @@ def test_merge():
 
 def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    assert sorted(tuple(r) for r in entries.op5_repeated_bytes(spark, "/root/testdata/sf0.001").collect()) == sorted(brute.repeats(docs, 400))
+    got = entries.op5_repeated_bytes(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(brute.repeats(docs, 400))
+    assert sorted((r.doc_id, r.n_passage) for r in got) == sorted((r[0], r[2]) for r in brute.repeats(docs, 256))
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 3}, {"chunk": 64, "together": 8}])
+def test_two_lengths(spark, options):
+    docs = texts(11, "abcdefgh", 150)
+    found = repeats.remove(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 60, passage=33, **options)
+    assert digest(found) == sorted(brute.repeats(docs, 60), key=repr)
+    short = found.select("doc_id", F.expr("aggregate(passages, 0, (n, s) -> n + s.end - s.start)"))
+    assert sorted(tuple(r) for r in short.collect()) == sorted((r[0], r[2]) for r in brute.repeats(docs, 33))
 
 
 def test_odd_rows(spark):
