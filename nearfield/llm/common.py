@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.plans.stable import shared_folder as shared_folder
+from nearfield.plans.stable import stable as stable
+
 #: The words of the corpus contracts, as one class of characters for Python and one for its complement in Java.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,20 +35,6 @@ def find_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(ASCII_LOWER)) if text else []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share. The cluster names it; only where none is named, as in tests, one is made here."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """A copy in the shared checkpoint folder, so that a lost executor or a second reader sees the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Bits of a map of hashes: 4 MB whatever the corpus. A fuller map lets more rows pass and stays right.
 MAP_BITS = 1 << 25
 
