@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, partitions, private, slices, stable
+from nearfield.llm.common import MAP_BITS, bit_map, lean, partitions, private, slices, stable
 
 N, SIMILARITY = 5, 0.8
 #: Minwise tokens of a set, greatest depth of a path, sets in a node that is compared at once, sets in a block.
@@ -222,7 +223,7 @@ def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, id_col: s
                 [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(ends), pa.int64()), pa.array(_sketches(tokens, ends), pa.binary())], ["id", "k1", "k2", "n", "sketch"]
             )
 
-    rows = stable(source.mapInArrow(sketched, f"id {id_type}, k1 long, k2 long, n long, sketch binary"))
+    rows = stable(source.mapInArrow(lean(sketched), f"id {id_type}, k1 long, k2 long, n long, sketch binary"))
     sets = rows.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = stable(sets.withColumn("s", F.monotonically_increasing_id()))
     nodes = _nodes(sets, similarity, runs_for(recall, similarity, DEPTH))
@@ -255,7 +256,7 @@ def _nodes(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[row]) for c in (1, 2))], ["path", "s", "n"])
 
     tokens = sets.where("sketch is not null").select("s", "n", "sketch")
-    level = tokens.mapInArrow(from_roots, depth_paths)
+    level = tokens.mapInArrow(lean(from_roots), depth_paths)
     ends: DataFrame | None = None
     for depth in range(1, DEPTH + 1):
         level = stable(level)
@@ -271,7 +272,7 @@ def _nodes(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
         split = level.join(large, "path")
         if split.isEmpty():
             break
-        level = split.join(tokens.select("s", "sketch"), "s").select("path", "s", "n", "sketch").mapInArrow(from_paths, depth_paths)
+        level = split.join(tokens.select("s", "sketch"), "s").select("path", "s", "n", "sketch").mapInArrow(lean(from_paths), depth_paths)
     ends = stable(ends)
     first = ends.groupBy("size", "x", "y").agg(F.min("path").alias("path")).select("path")
     return ends.join(first, "path", "left_semi").select("path", "s", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int").alias("blocks"))
@@ -300,7 +301,7 @@ def _compared(source: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, simi
             some = np.flatnonzero((data[bit >> 3] >> (bit & 7) & 1 > 0) & (np.diff(ends) > 0)) if len(data) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some, 0]), pa.array(keys[some, 1]), pa.array([_packed(found[ends[i] : ends[i + 1]]) for i in some], pa.binary())], ["k1", "k2", "tokens"])
 
-    texts = source.select("text").mapInArrow(tokens, "k1 long, k2 long, tokens binary").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
+    texts = source.select("text").mapInArrow(lean(tokens), "k1 long, k2 long, tokens binary").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
     dealt = members.join(texts, ["k1", "k2"]).select("s", "copies", "paths", "tokens", F.explode("groups").alias("g")).select("g.*", "s", "copies", "paths", "tokens")
     dealt = dealt.repartition(partitions(source.sparkSession), "path", "a", "b").sortWithinPartitions("path", "a", "b", "s")
 
@@ -314,7 +315,7 @@ def _compared(source: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, simi
                 group.append(row[3:])
         yield from _compare(key, group, similarity)
 
-    return dealt.mapInArrow(compared, "s long, other long, links long")
+    return dealt.mapInArrow(lean(compared), "s long, other long, links long")
 
 
 def _shared(sets: list[np.ndarray], sizes: np.ndarray, todo: np.ndarray, columns: int = 1 << 16) -> np.ndarray:
@@ -413,10 +414,26 @@ def _components(edges: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """One row of each class, with all its columns: that of the least id (null last), then of the least hash of the text. Of
-    rows equal in both, one stays."""
+    rows equal in both, one stays. Null and empty texts are alike; texts without words are in a class with their copies only.
+
+    A row without links stays whatever the others do: a bit map of the linked rows' names, of a fixed size, lets those go
+    straight through, and only the others meet the names to keep. Two names of one bit cost a shuffle of a row, no more.
+    """
     name = private(docs, "name")
-    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
     named = docs.withColumn(name, key)
-    classes = links(named.select(F.col(name).alias("name"), F.col(text_col).alias("text")), n, similarity, "name", "text", recall)
+    classes = stable(links(named.select(F.col(name).alias("name"), F.col(text_col).alias("text")), n, similarity, "name", "text", recall).select("name", "class_id", "n_links").where("n_links > 0"))
+    linked = docs.sparkSession.sparkContext.broadcast(bit_map(classes.select(F.xxhash64("name"))))
+
+    @F.pandas_udf("boolean")
+    def may_be_linked(h: pd.Series) -> pd.Series:
+        data, bit = np.frombuffer(linked.value, np.uint8), h.to_numpy() % MAP_BITS
+        return pd.Series(data[bit >> 3] >> (bit & 7) & 1 > 0) if len(data) else pd.Series(np.zeros(len(bit), bool))
+
+    met = may_be_linked(F.xxhash64(name))
     kept = classes.where("name = class_id").select(F.col("name").alias(name)).distinct()
-    return named.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    # Of rows with a bit but without links none is among the classes; names tell them from those that go.
+    gone = classes.select(F.col("name").alias(name)).distinct().join(kept, name, "left_anti")
+    some = named.where(met).join(gone, name, "left_anti").dropDuplicates([name])
+    return named.where(~met).unionByName(some).drop(name)
