@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from nearfield.llm.common import partitions, slices
+from nearfield.llm.common import lean, partitions, release, slices
 
 #: Characters of text in a block. A longer text is a block by itself.
 BLOCK_CHARS = 6_000_000
+#: Words that a task of the encoder remembers; one that comes later again is encoded again.
+KNOWN = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,6 +133,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             for block, numbers, sizes, words in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 ends, words = np.cumsum(_unpack(unpack(sizes))).tolist(), unpack(words)
+                if len(known) > KNOWN:
+                    known.clear()
                 ids = [known[words[a:b]] for a, b in zip([0, *ends], ends)]
                 lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
                 yield pa.RecordBatch.from_arrays(
@@ -175,10 +179,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 at += n
         return pa.table({id_col: pa.array(ids, id_arrow), "ids": pa.array(out, pa.binary())})
 
-    words = source.mapInArrow(dictionaries, "bucket int, block long, numbers binary, sizes binary, words binary").repartition(tasks, "bucket")
-    back = words.mapInArrow(encoded, "block long, numbers binary, lengths binary, token_ids binary")
-    rows = source.mapInArrow(positions, f"block long, ids array<{id_type}>, counts array<int>, sequence binary")
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(reassembled, f"{id_col} {id_type}, ids binary")
+    def placed(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = reassembled(left, right)
+        release()
+        return out
+
+    words = source.mapInArrow(lean(dictionaries), "bucket int, block long, numbers binary, sizes binary, words binary").repartition(tasks, "bucket")
+    back = words.mapInArrow(lean(encoded), "block long, numbers binary, lengths binary, token_ids binary")
+    rows = source.mapInArrow(lean(positions), f"block long, ids array<{id_type}>, counts array<int>, sequence binary")
+    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(placed, f"{id_col} {id_type}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -199,4 +208,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names)
 
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
-    return encoded.mapInArrow(decoded, schema)
+    return encoded.mapInArrow(lean(decoded), schema)

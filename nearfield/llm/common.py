@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 
 import numpy as np
@@ -70,6 +72,23 @@ def slices(batches, rows: int = 512):
             yield batch.slice(start, rows)
 
 
+def lean(f):
+    """f for mapInArrow, after which the worker gives the memory that it no longer needs back to the system: workers live on, and
+    what one operator has taken would else be missing for the next."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def private(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import slices, stable
+from nearfield.llm.common import lean, slices, stable
 
 #: The classifier is fitted on about so many labelled rows at most, chosen by a hash of the text.
 SAMPLE_ROWS = 20_000
@@ -53,10 +53,10 @@ class Model:
 
 
 class Scorer:
-    """Scores texts, remembering the vectors of up to 200,000 words."""
+    """Scores texts, remembering the vectors of up to 100,000 words."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.limit = model, 200_000
+        self.model, self.limit = model, 100_000
         self.clear()
 
     def clear(self) -> None:
@@ -133,13 +133,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         yield from _batches(counts)
 
     schema = "lang string, key string, n long"
-    words = stable(rows.mapInArrow(counted, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    words = stable(rows.mapInArrow(lean(counted), schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
     shares = {r.lang: r.n for r in words.where("key = ''").collect()}  # a row per language
     if not shares:
         return Model()
     langs = sorted(shares)
     words = words.where("key <> ''")
-    grams = words.mapInArrow(cut, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    grams = words.mapInArrow(lean(cut), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     grams = stable(grams.withColumn("size", F.char_length("key")))
     top = lambda df, n: [(r.lang, r.key, r.n) for r in df.orderBy(F.desc("n"), "key", "lang").limit(n).collect()]  # noqa: E731  bounded by n
     prior = np.log(np.array([shares[lang] for lang in langs]) / sum(shares.values()))
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(scored, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(lean(scored), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -181,4 +181,4 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
             found = [score(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import MAP_BITS, bit_map, private, slices, stable
+from nearfield.llm.common import MAP_BITS, bit_map, lean, private, slices, stable
 
 KINDS = ["email", "ip", "card", "phone", "secret", "term"]
 #: Words on either side of an entity whose relation to it is measured, and the letters that they have at least.
@@ -129,7 +129,7 @@ def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 [*(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))), pa.array(rows.values(), pa.int64())], ["entity", "term", "text", "n"]
             )
 
-    found = docs.select(text_col).mapInArrow(around, "entity long, term string, text long, n long")
+    found = docs.select(text_col).mapInArrow(lean(around), "entity long, term string, text long, n long")
     return found.groupBy("entity", "term", "text").agg(F.sum("n").alias("n"))
 
 
@@ -143,13 +143,13 @@ def _term_places(text: str) -> tuple[array, array]:
 
 
 class _Known(dict):
-    """Whether a term's bit is set in a map, remembered for up to a million terms."""
+    """Whether a term's bit is set in a map, remembered for up to 200,000 terms."""
 
     def __init__(self, data: bytes) -> None:
         self.data = data
 
     def __missing__(self, term: str) -> bool:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         b = xxhash.xxh64_intdigest(term, seed=42) % MAP_BITS  # as Spark's xxhash64 does
         self[term] = out = bool(self.data[b >> 3] >> (b & 7) & 1)
@@ -189,7 +189,7 @@ def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield _counts(counts)
 
     # Common words stand near very many entities; the join by term can split them, for both its sides are written out.
-    with_term = stable(docs.select(text_col).mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")))
+    with_term = stable(docs.select(text_col).mapInArrow(lean(counted), "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")))
     with_entity = near.groupBy("entity", "text").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
     share = F.col("both") / (F.greatest("with_term", "both") + F.when(F.col("texts") < FEW, PRIOR).otherwise(0.0))
     all_texts = F.lit(float(max(1, docs.count())))
@@ -232,7 +232,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     term = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     kind, spans = docs.schema[id_col].dataType.simpleString(), "array<struct<kind: string, start: int, end: int>>"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(scanned, f"id {kind}, base {spans}, some array<struct<term: string, start: int, end: int>>, secrets {spans}")
+    rows = source.mapInArrow(lean(scanned), f"id {kind}, base {spans}, some array<struct<term: string, start: int, end: int>>, secrets {spans}")
     none = F.expr(f"cast(array() as {spans})")
     if not sent.value:
         return rows.select(F.col("id").alias(id_col), "base", none.alias("terms"), "secrets")
@@ -270,7 +270,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.select(*(F.col(f"`{c}`") for c in names), extra).mapInArrow(replaced, docs.schema)
+    return marked.select(*(F.col(f"`{c}`") for c in names), extra).mapInArrow(lean(replaced), docs.schema)
 
 
 def _replace(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -130,7 +130,7 @@ class Model:
 
 
 class Scorer:
-    """Features and scores of texts; remembers the matches of up to a million words."""
+    """Features and scores of texts; remembers the matches of up to 200,000 words."""
 
     def __init__(self, model: Model) -> None:
         self.matcher, self.weights = Matcher(model.lexicon), np.array(model.weights)
@@ -149,7 +149,7 @@ class Scorer:
     def hits(self, text: str | None) -> list[dict]:
         """term, edits, place among the tokens and context score of each hit."""
         low = (text or "").lower()
-        if len(self.found) > 1_000_000:
+        if len(self.found) > 200_000:
             self.clear()
         if not any(map(self.found.__getitem__, set(_words(low)))):
             return []
