@@ -20,7 +20,7 @@ from nearfield.llm.common import lean, slices, stable
 
 #: The classifier is fitted on about so many labelled rows at most, chosen by a hash of the text.
 SAMPLE_ROWS = 20_000
-#: Commonest words, and n-grams of each length, that the model keeps.
+#: Commonest words, and n-grams of each length, over all languages, that the model keeps.
 KEEP_WORDS, KEEP_GRAMS, LONGEST = 60_000, 20_000, 4
 UNKNOWN = "und"
 _letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
@@ -87,16 +87,13 @@ class Scorer:
         return self.model.langs[best], float(odds[best] / odds.sum())
 
 
-def _logs(rows: list, langs: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log frequency by language from (lang, key, n); the first language's is subtracted nowhere, so
+def _logs(rows: list) -> dict[str, np.ndarray]:
+    """Smoothed log frequency by language from (key, counts by language); the first language's is subtracted nowhere, so
     an absent key costs a language the same for every key."""
-    place, table = {lang: i for i, lang in enumerate(langs)}, {}
-    for lang, key, n in rows:
-        table.setdefault(key, np.zeros(len(langs)))[place[lang]] += n
-    if not table:
+    if not rows:
         return {}
-    totals = np.sum(list(table.values()), axis=0)
-    return {key: np.log((counts + 0.1) / (totals + 0.1 * len(table))) for key, counts in table.items()}
+    totals = np.sum([counts for _, counts in rows], axis=0)
+    return {key: np.log((np.array(counts) + 0.1) / (totals + 0.1 * len(rows))) for key, counts in rows}
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -141,9 +138,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     words = words.where("key <> ''")
     grams = words.mapInArrow(lean(cut), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     grams = stable(grams.withColumn("size", F.char_length("key")))
-    top = lambda df, n: [(r.lang, r.key, r.n) for r in df.orderBy(F.desc("n"), "key", "lang").limit(n).collect()]  # noqa: E731  bounded by n
+    by_lang = F.array(*(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) for lang in langs)).alias("counts")
+
+    def top(df: DataFrame, most: int) -> list:
+        """The commonest keys of all languages together, each with its counts in all of them."""
+        keys = df.groupBy("key").agg(F.sum("n").alias("n"), by_lang).orderBy(F.desc("n"), "key").limit(most)
+        return [(r.key, r.counts) for r in keys.select("key", "counts").collect()]  # bounded by most
+
     prior = np.log(np.array([shares[lang] for lang in langs]) / sum(shares.values()))
-    return Model(langs, prior, _logs(top(words, KEEP_WORDS), langs), [_logs(top(grams.where(F.col("size") == k), KEEP_GRAMS), langs) for k in range(1, LONGEST + 1)])
+    return Model(langs, prior, _logs(top(words, KEEP_WORDS)), [_logs(top(grams.where(F.col("size") == k), KEEP_GRAMS)) for k in range(1, LONGEST + 1)])
 
 
 def _batches(counts: Counter):

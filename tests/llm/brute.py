@@ -146,6 +146,44 @@ def sanitised(texts):
     return out
 
 
+def languages(known, texts, keep_words, keep_grams):
+    """(language, score) of each text by (text, language) pairs, in plain Python."""
+    import regex
+
+    letters = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    langs = sorted({lang for _, lang in known})
+    texts_of = Counter(lang for _, lang in known)
+    counts = [{} for _ in range(5)]  # words, then n-grams of 1 to 4
+    for t, lang in known:
+        for w in letters(t):
+            marked = f" {w} "
+            for size, key in [(0, w)] + [(n, marked[i : i + n]) for n in range(1, 5) for i in range(len(marked) - n + 1)]:
+                counts[size].setdefault(key, Counter())[lang] += 1
+    for size, table in enumerate(counts):
+        kept = sorted(table, key=lambda k: (-sum(table[k].values()), k.encode()))[: keep_grams if size else keep_words]
+        totals = {lang: sum(table[k][lang] for k in kept) for lang in langs}
+        counts[size] = {k: [math.log((table[k][lang] + 0.1) / (totals[lang] + 0.1 * len(kept))) for lang in langs] for k in kept}
+
+    def of(w):
+        if w in counts[0]:
+            return counts[0][w]
+        for n in range(4, 0, -1):
+            got = [counts[n][g] for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) in counts[n]]
+            if got:
+                return [sum(v) / len(got) for v in zip(*got)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        total = [math.log(texts_of[lang] / len(known)) for lang in langs]
+        for w in letters(t):
+            total = [x + y for x, y in zip(total, of(w))]
+        odds = [math.exp(x - max(total)) for x in total]
+        best = odds.index(max(odds))
+        out.append((langs[best], odds[best] / sum(odds)) if letters(t) else ("und", 0.0))
+    return out
+
+
 def edited(docs):
     import xxhash
 

@@ -3,6 +3,7 @@
 import os
 import re
 import sys
+import zlib
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
@@ -41,6 +42,23 @@ def test_language(spark, odd):
     assert language.Scorer(model)("chie")[0] == "fr"
 
 
+@pytest.mark.parametrize("words, grams", [(60_000, 20_000), (60, 40)])
+def test_language_by_plain_python(spark, monkeypatch, words, grams):
+    """The query's rows over the whole small table; with few keys kept, most words back off."""
+    monkeypatch.setattr(language, "KEEP_WORDS", words)
+    monkeypatch.setattr(language, "KEEP_GRAMS", grams)
+    small = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    known = [(r.text, r.lang) for r in rows if not held[r.doc_id] and r.text is not None and r.lang is not None]
+    expected = dict(zip((r.doc_id for r in rows), brute.languages(known, [r.text for r in rows], words, grams)))
+    got = entries.op2_word_first_language(spark, small).collect()
+    assert len(got) == len(rows) > 100 and any(held.values())
+    for r in got:
+        lang, score = expected[r.doc_id]
+        assert (r.held_out, r.lang_pred) == (held[r.doc_id], lang) and r.score == pytest.approx(score, abs=1e-6)
+
+
 def test_toxicity(spark, odd):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = entries.op4_toxicity(spark, SF).collect()
