@@ -170,19 +170,26 @@ def _keys(texts: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
-#: Bytes of a hash that are sent to be compared: of two texts of a million words, 0.004 n-grams that they don't share
-#: are taken for one another.
-SENT = 6
+#: Bytes of a hash that are sent to be compared: as many as two sets of this size or less can be told by, with 0.004 false
+#: shared n-grams expected, whatever the size.
+FALSE = 0.004
+
+
+def _width(n: int) -> int:
+    """4 up to 4,144 n-grams, 5 up to 66,317, 6 up to 1.06 million, 7 up to 17 million."""
+    return next((w for w in range(4, 8) if n * n <= FALSE * 256**w), 8)
 
 
 def _packed(tokens: np.ndarray) -> bytes:
-    """The high bytes of the hashes, in planes."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT :].T).tobytes()
+    """The high bytes of the hashes, in planes, and how many bytes they have."""
+    width = _width(len(tokens))
+    return bytes([width]) + np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // SENT, 8), np.uint8)
-    out[:, 8 - SENT :] = np.frombuffer(data, np.uint8).reshape(SENT, -1).T
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, 8 - width :] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
@@ -346,6 +353,21 @@ def _shared(sets: list[np.ndarray], sizes: np.ndarray, todo: np.ndarray, columns
     return out
 
 
+def _shared_by_width(sets: list[np.ndarray], widths: np.ndarray, sizes: np.ndarray, todo: np.ndarray) -> np.ndarray:
+    """As _shared, of sets whose hashes have unlike numbers of bytes: a pair is compared by the fewer of its two."""
+    if (widths == widths[0]).all():
+        return _shared(sets, sizes, todo)
+    out = np.zeros(todo.shape, np.uint32)
+    for width in np.unique(widths):
+        now = todo & (np.minimum(widths[:, None], widths[None, :]) == width)
+        some = np.flatnonzero(now.any(axis=0) | now.any(axis=1))
+        if len(some):
+            mask = np.uint64((1 << 64) - (1 << 64 - 8 * int(width)))
+            at = np.ix_(some, some)
+            out[at] += _shared([sets[i] & mask for i in some], sizes[some], now[at])
+    return out
+
+
 def _compare(key, group: list[tuple], similarity: float) -> Iterator[pa.RecordBatch]:
     """group: rows of block, s, copies, paths and tokens of a node's two blocks (or one block)."""
     if len(group) < 2:
@@ -372,7 +394,7 @@ def _compare(key, group: list[tuple], similarity: float) -> Iterator[pa.RecordBa
     todo = ~(seen | short)
     if not todo.any():
         return
-    shared = _shared(sets, sizes, todo)
+    shared = _shared_by_width(sets, np.array([r[4][0] for r in group]), sizes, todo)
     linked, parent = np.zeros(m, np.int64), np.arange(m)
 
     def root(i: int) -> int:

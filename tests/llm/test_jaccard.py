@@ -4,6 +4,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,5 +64,22 @@ def test_hot_groups(spark, hot, monkeypatch):
     assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in expected.items()}
 
 
+def test_widths():
+    """Sets on both sides of a change of width share what they share, and few n-grams by chance."""
+    assert [jaccard_join._width(n) for n in (0, 4_144, 4_145, 66_317, 66_318, 1 << 20, 1 << 24, 1 << 25)] == [4, 4, 5, 5, 6, 6, 7, 8]
+    rng = np.random.default_rng(3)
+    every = rng.integers(0, 1 << 64, 90_000, dtype=np.uint64)
+    cuts = [(0, 4_000), (0, 4_500), (300, 5_000), (5_000, 70_000), (6_000, 72_000), (72_000, 76_000)]
+    packed = [jaccard_join._packed(np.sort(every[a:b])) for a, b in cuts]
+    sets = [jaccard_join._unpacked(x) for x in packed]
+    sizes, todo = np.array([len(x) for x in sets]), ~np.tri(len(cuts), dtype=bool)
+    assert sizes.tolist() == [b - a for a, b in cuts] and [x[0] for x in packed] == [4, 5, 5, 5, 5, 4]
+    got = jaccard_join._shared_by_width(sets, np.array([x[0] for x in packed]), sizes, todo)
+    for i, (a, b) in enumerate(cuts):
+        for j, (c, d) in enumerate(cuts[:i]):
+            assert abs(int(got[j, i]) - max(0, min(b, d) - max(a, c))) <= 2, (i, j)
+            assert got[i, j] == 0
+
+
 def test_runs():
     assert jaccard_join.runs_for(0.995, 0.8, 3) == 12
