@@ -184,6 +184,55 @@ def languages(known, texts, keep_words, keep_grams):
     return out
 
 
+def toxic(texts, lexicon, weights, report, address):
+    """The score of each text by a lexicon and weights: every word against every term by edit distance."""
+    import regex
+
+    quotes = "\"'“”„‟«»‘’‹›"
+    letter = r"\p{L}[\p{L}\p{M}\p{N}]*"
+    cut = regex.compile(letter + "|[\"“”„‟«»‹›‘’]|(?<!\\p{L})'|'(?!\\p{L})")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    known = {}
+
+    def nearest(word):
+        if word not in known:
+            found = []
+            for term in lexicon:
+                allowed = 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+                if abs(len(term) - len(word)) <= allowed and (d := distance(word, term)) <= allowed:
+                    found.append((d, term))
+            known[word] = min(found) if found else None
+        return known[word]
+
+    out = []
+    for t in texts:
+        tokens, hits = cut.findall((t or "").lower()), []
+        for i, word in enumerate(tokens):
+            if word not in quotes and (near := nearest(word)):
+                left, right = tokens[max(0, i - 6) : i], tokens[i + 1 : i + 7]
+                z = 2.0
+                if any(x in quotes for x in left) and any(x in quotes for x in right):
+                    z -= 3.0
+                if any(x in report for x in left + right):
+                    z -= 1.5
+                if any(x in address for x in left + right):
+                    z += 1.5
+                hits.append((*near, 1 / (1 + math.exp(-z))))
+        exact, edited_ = [h for h in hits if h[0] == 0], [h for h in hits if h[0]]
+        x = [1.0, math.log1p(sum(h[2] for h in exact)), math.log1p(sum(h[2] for h in edited_)), min(len({h[1] for h in exact}), 4) / 2, min(len({h[1] for h in hits}), 4) / 2]
+        x += [float(bool(exact)), max([h[2] for h in hits], default=0.0)]
+        out.append((1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x)))), len(hits)))
+    return out
+
+
 def edited(docs):
     import xxhash
 

@@ -71,6 +71,21 @@ def test_toxicity(spark, odd):
     assert toxicity.predict(odd, toxicity.fit(odd.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))).count() == len(ODD)
 
 
+def test_toxicity_by_plain_python(spark):
+    """Scores of the whole table under the model that the query learns: each word against each term, without automata."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(entries._remainder(5) != 0))
+    assert model.lexicon
+    rows = docs.select("doc_id", "text").collect()
+    expected = dict(zip((r.doc_id for r in rows), brute.toxic([r.text for r in rows], model.lexicon, model.weights, toxicity.REPORT, toxicity.ADDRESS)))
+    got = entries.op4_toxicity(spark, SF).collect()
+    assert len(got) == len(rows) and sum(r.n_hits > 0 for r in got) > 10
+    for r in got:
+        score, hits = expected[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-6) and r.n_hits == hits
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (score >= 0.5)
+
+
 def test_automaton():
     terms = ["idiot", "scum", "disgusting", "cat"]
     matcher = toxicity.Matcher(terms)
