@@ -2,9 +2,9 @@
 
 Patterns find the protected entities, and values that are assigned to a name and hold much information are secrets. The corpus then says which terms reveal them: of the texts with a term,
 how many have the entity near it, against the entity's share of all texts. Terms past both disclosure
-thresholds are found wherever they stand. Candidate terms come from the entities' surroundings; a bit map of
-fixed size lets a second scan count the texts that have them and a third one find those past the thresholds, and joins
-by term settle which are real, so that nothing that grows with the corpus is sent to all tasks.
+thresholds are found wherever they stand. Candidate terms come from the entities' surroundings; bit maps of
+fixed size let further scans count the texts that have them, a part of the texts first, and a last one find those past the thresholds,
+and joins by term settle which are real, so that nothing that grows with the corpus is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SHARE, BITS = 0.5, 6.0
 SECRET_BITS = 64.0
 #: Of a pair in fewer distinct texts than FEW, the share is smoothed: PRIOR of a text with the term but not the entity is added.
 FEW, PRIOR = 5, 0.5
+#: One of so many parts of the texts, by their hash, is counted first.
+PARTS = 16
 
 _domain = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+").match
 _ip = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}").finditer
@@ -107,7 +109,7 @@ def _terms(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, text, n): the hashes of each entity's value and of the text, a term near the entity, and the text's copies."""
+    """(entity, term, text, n): the hashes of each entity's value and of the text (as Spark's xxhash64), a term near the entity, and the text's copies."""
 
     def around(batches):
         for batch in batches:
@@ -116,7 +118,8 @@ def surroundings(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 spans = find(text)
                 if not spans:
                     continue
-                key = xxhash.xxh64_intdigest(text) - (1 << 63)
+                key = xxhash.xxh64_intdigest(text, seed=42)
+                key -= key >> 63 << 64
                 near: set[tuple[int, str, int]] = set()
                 # The words are found once, as places in the text; one that an entity cuts is on neither side of it.
                 starts, ends = _term_places(text)
@@ -171,10 +174,38 @@ def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts that have the term near the entity are counted against all that have the term, copies included; one text is
     enough, as most entities are in one only, but few texts count for less. Only candidates, terms near an entity, are counted over the corpus,
     task by task, so the counts and not the occurrences are shuffled.
+
+    Most candidates are words that nearly every task meets. Texts with the term near any entity, and those of a first part
+    of the corpus, already tell of most that too many texts have them: with a count that can only rise, the share can only fall. So the
+    rest of the corpus is counted for the others alone, and what is left has been counted in all texts.
     """
     near = stable(surroundings(docs, text_col))
     pairs = stable(near.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")))
-    sent = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select(F.xxhash64("term").alias("h"))))
+    first = lambda text: F.pmod(text, F.lit(PARTS)) == 0
+    smoothed = F.when(F.col("texts") < FEW, PRIOR).otherwise(0.0)
+    share = F.col("both") / (F.greatest("with_term", "both") + smoothed)
+    # Common words stand near very many entities; the joins by term can split them, for both their sides are written out.
+    seen = near.groupBy("term", "text").agg(F.max("n").alias("n")).groupBy("term").agg(F.sum("n").alias("with_term"), F.sum(F.when(first(F.col("text")), 0).otherwise(F.col("n"))).alias("later"))
+    pairs = stable(pairs.join(stable(seen), "term").where(share >= SHARE).drop("with_term"))
+    some = stable(term_counts(docs.where(first(F.xxhash64(text_col))), pairs, text_col))
+    pairs = pairs.join(some, "term", "left").withColumn("counted", F.coalesce("n", F.lit(0))).drop("n")
+    pairs = stable(pairs.withColumn("with_term", F.col("counted") + F.col("later")).where(share >= SHARE).drop("with_term", "later"))
+    others = stable(term_counts(docs.where(~first(F.xxhash64(text_col))), pairs, text_col))
+    pairs = pairs.join(others, "term", "left").withColumn("with_term", F.col("counted") + F.coalesce("n", F.lit(0))).drop("n", "counted")
+    with_entity = near.groupBy("entity", "text").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
+    all_texts = F.lit(float(max(1, docs.count())))
+    bits = F.log2(share / (F.col("with_entity") / all_texts))
+    likely = pairs.where(share >= SHARE).join(with_entity, "entity")
+    n, usual = F.greatest("with_term", "both"), F.col("with_entity") / all_texts
+    apart = n - F.col("both")
+    evidence = F.col("both") * F.log2(F.col("both") / n / usual) + F.when(apart > 0, apart * F.log2(apart / n / (1 - usual))).otherwise(0.0)
+    enough = evidence + 1e-9 >= F.least(F.lit(BITS), -F.col("with_entity") * F.log2(usual))
+    return likely.where((F.col("both") / n > usual) & enough).select("entity", "term", share.alias("share"), bits.alias("bits"))
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): how many texts have each term of this table's, and of others whose bit in a map is the same."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(terms.select(F.xxhash64("term").alias("h"))))
 
     def counted(batches):
         counts: Counter = Counter()
@@ -188,18 +219,7 @@ def revealing(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 counts.clear()
         yield _counts(counts)
 
-    # Common words stand near very many entities; the join by term can split them, for both its sides are written out.
-    with_term = stable(docs.select(text_col).mapInArrow(lean(counted), "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")))
-    with_entity = near.groupBy("entity", "text").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
-    share = F.col("both") / (F.greatest("with_term", "both") + F.when(F.col("texts") < FEW, PRIOR).otherwise(0.0))
-    all_texts = F.lit(float(max(1, docs.count())))
-    bits = F.log2(share / (F.col("with_entity") / all_texts))
-    likely = pairs.join(with_term, "term").where(share >= SHARE).join(with_entity, "entity")
-    n, usual = F.greatest("with_term", "both"), F.col("with_entity") / all_texts
-    apart = n - F.col("both")
-    evidence = F.col("both") * F.log2(F.col("both") / n / usual) + F.when(apart > 0, apart * F.log2(apart / n / (1 - usual))).otherwise(0.0)
-    enough = evidence + 1e-9 >= F.least(F.lit(BITS), -F.col("with_entity") * F.log2(usual))
-    return likely.where((F.col("both") / n > usual) & enough).select("entity", "term", share.alias("share"), bits.alias("bits"))
+    return docs.select(text_col).mapInArrow(lean(counted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _counts(counts: Counter) -> pa.RecordBatch:

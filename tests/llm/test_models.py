@@ -1,6 +1,7 @@
 """Language, toxicity, personal data and edit fingerprints: held-out accuracy, plain versions and odd rows."""
 
 import os
+import random
 import re
 import sys
 import zlib
@@ -199,6 +200,31 @@ def test_revealing_terms_of_rare_entities(spark):
         assert [(s["start"], s["end"]) for s in found[r.doc_id]] == [s for s in spans if not any(s[0] < b and a < s[1] for _, a, b in base)]
 
 
+def test_common_terms_leave_before_the_whole_count(spark, monkeypatch):
+    """Words that most texts have stand near entities too. Few of them may be counted in every task, and none of the real ones may be lost."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefgh", k=7)) for _ in range(200)]
+    texts = [" ".join([*draw.sample(words, 20), *(["zebulon" + "abcdefghijk"[min(i, 10)], f"a{i}@b.com"] if i < 30 else []), *draw.sample(words, 20)]) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string").repartition(8)
+    asked, count = [], pii.term_counts
+
+    def counted(docs, terms, *more):
+        asked.append({r.term for r in terms.select("term").distinct().collect()})
+        return count(docs, terms, *more)
+
+    monkeypatch.setattr(pii, "term_counts", counted)
+    found = sorted(r.term for r in pii.revealing(docs).collect())
+    assert found == sorted(w for _, w in brute.revealing(texts + texts[:5]))
+    candidates = pii.surroundings(docs).select("term").distinct().count()
+    assert len(found) >= 10 and len(asked) == 2 and set(found) <= asked[1] <= asked[0] and len(asked[1]) < candidates / 3
+
+
+def test_text_keys(spark):
+    """Parts of the texts are told alike by Python and by Spark."""
+    rows = spark.createDataFrame([(f"Zebulon a@b.com \u00e9 {i}",) for i in range(50)], "text string")
+    assert {r.text for r in pii.surroundings(rows).collect()} == {r.h for r in rows.select(F.xxhash64("text").alias("h")).collect()}
+
+
 def test_candidates_recall(spark):
     """Edited copies of real texts, and copies on either side of a change of the output's length, against all pairs."""
     import random
