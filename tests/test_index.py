@@ -212,6 +212,26 @@ def test_registry(spark):
         registry.get_metric("never heard of")
 
 
+@pytest.mark.parametrize("name", ["mahalanobis"])
+def test_metrics_over_blocks(spark, name):
+    """A batch search asks the form over blocks alone, which says what the function says; rows for which it fails go to the function."""
+    catalog.QUERIES[f"knn_custom_{name}"](spark, "/root/testdata/sf0.001")
+    metric = registry.resolve(name)[1]
+    rng = np.random.default_rng(5)
+    rows, q = rng.normal(size=(1200, 64)), rng.normal(size=64)
+    rows[3, 7] = np.nan
+    plain = np.array([metric(r, q.tolist()) for r in rows.tolist()])
+    assert np.isnan(plain[3]) and metric.over(rows, q) == pytest.approx(plain, rel=1e-12, nan_ok=True)
+    for block in (lambda rows, q: 1 / 0, lambda rows, q: rows):
+        assert registry.guarded(metric.function, block).over(rows, q).tolist()[:3] == plain.tolist()[:3]
+    best = search.Best(np.arange(2), 5)
+    best.look(D.Metric(name), registry.guarded(lambda a, b: pytest.fail("called"), metric.block), np.arange(1200), rows, rng.normal(size=(2, 64)))
+    assert (np.diff(best.dist) >= 0).all() and np.isfinite(best.dist).all()
+    registry.register_metric("once", lambda a, b: 1.0, lambda rows, q: np.zeros(len(rows)))
+    registry.register_metric("once", lambda a, b: 1.0)
+    assert registry.resolve("once")[1].block is None
+
+
 def test_quantised(spark):
     values = [1.0, float("nan"), float("inf"), float("-inf"), 2.0]
     assert spark.createDataFrame([(values,)], "v array<float>").select(D.to_int8(F.col("v"))).first()[0] == [127, 0, 0, 0, 127]
